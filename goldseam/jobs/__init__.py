@@ -1,5 +1,5 @@
 """Registered queries by input, each beside the SQL it is compared with."""
 
-from goldseam.jobs import matches
+from goldseam.jobs import events, matches, squads
 
-REGISTRY = (matches,)
+REGISTRY = (matches, squads, events)
