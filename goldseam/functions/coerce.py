@@ -20,25 +20,42 @@ TRUE_WORDS = ("true", "1", "yes", "t", "y")
 BOOLEAN_WORDS = ("true", "false", "1", "0", "yes", "no", "t", "f", "y", "n")
 
 # Numbers with optional sign, fraction and exponent; ``_`` may stand between
-# two digits. Spark's own cast would also take ``1d`` and refuse ``1_000``.
+# two digits. Spark's own cast would also take ``1d`` and refuse ``1_000``. The
+# plain forms are tested first: their patterns have no nested repeats.
 _DIGITS = r"[0-9](?:_?[0-9])*"
-INTEGER_PATTERN = rf"^[+-]?{_DIGITS}$"
-NUMBER_PATTERN = rf"^[+-]?(?:{_DIGITS}\.?(?:{_DIGITS})?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?$"
+INTEGER_PATTERN = r"^[+-]?[0-9]+$"
+NUMBER_PATTERN = r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"
+GROUPED_INTEGER_PATTERN = rf"^[+-]?{_DIGITS}$"
+GROUPED_NUMBER_PATTERN = rf"^[+-]?(?:{_DIGITS}\.?(?:{_DIGITS})?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?$"
 NON_FINITE_PATTERN = r"(?i)^[+-]?(?:nan|inf|infinity)$"
+# Text whose first and last character is a visible ASCII one has nothing to strip.
+BARE_PATTERN = r"^[!-~](?s:.*[!-~])?\z"
 
 
 def strip(value: Column) -> Column:
     """Remove white space of any kind at both ends (``trim`` removes spaces only)."""
-    return F.btrim(value.cast("string"), F.lit(WHITESPACE))
+    text = value.cast("string")
+    return F.when(text.rlike(BARE_PATTERN), text).otherwise(F.btrim(text, F.lit(WHITESPACE)))
 
 
 def _blank(value: Column) -> Column:
     return value.isNull() | (value == "")
 
 
+def _parsed(text: Column, pattern: str, grouped_pattern: str, kind: str) -> Column:
+    """Number of stripped text in one of the two forms, else null."""
+    grouped = F.contains(text, F.lit("_")) & text.rlike(grouped_pattern)
+    return F.when(text.rlike(pattern), text.try_cast(kind)).when(
+        grouped, F.replace(text, F.lit("_"), F.lit("")).try_cast(kind)
+    )
+
+
 def _finite(text: Column) -> Column:
-    """Double of a well-formed number, else null."""
-    return F.when(text.rlike(NUMBER_PATTERN), F.replace(text, F.lit("_"), F.lit("")).try_cast("double"))
+    return _parsed(text, NUMBER_PATTERN, GROUPED_NUMBER_PATTERN, "double")
+
+
+def _integer(text: Column, kind: str) -> Column:
+    return _parsed(text, INTEGER_PATTERN, GROUPED_INTEGER_PATTERN, kind)
 
 
 def parse_double(text: Column) -> Column:
@@ -52,41 +69,45 @@ def parse_double(text: Column) -> Column:
     return F.coalesce(_finite(text), special)
 
 
-def coerce_bool(value: Column) -> Column:
+def coerce_bool(value: Column, stripped: Column | None = None) -> Column:
     """A true-word gives true, any other text false, blank or null gives null."""
     text = value.cast("string")
-    return F.when(~_blank(text), F.lower(strip(text)).isin(*TRUE_WORDS))
+    stripped = strip(text) if stripped is None else stripped
+    return F.when(~_blank(text), F.lower(stripped).isin(*TRUE_WORDS))
 
 
-def coerce_int(value: Column) -> Column:
+def coerce_int(value: Column, stripped: Column | None = None) -> Column:
     """Whole part of the number, cut toward zero; null beyond 64 bits."""
-    return _finite(strip(value)).try_cast("bigint")
+    return _finite(strip(value) if stripped is None else stripped).try_cast("bigint")
 
 
 def coerce_wide_int(value: Column) -> Column:
     """As :func:`coerce_int` for identifiers of up to 38 digits."""
     text = strip(value)
-    exact = F.when(text.rlike(INTEGER_PATTERN), F.replace(text, F.lit("_"), F.lit("")).try_cast("decimal(38,0)"))
     number = _finite(text)
-    cut = F.when(number < 0, F.ceil(number)).otherwise(F.floor(number))
-    return F.coalesce(exact, cut.try_cast("decimal(38,0)"))
+    # From 2^53 on, a double has no fraction to cut.
+    cut = F.when(F.abs(number) < float(1 << 53), number.try_cast("bigint").cast("decimal(38,0)")).otherwise(
+        number.try_cast("decimal(38,0)")
+    )
+    return F.coalesce(_integer(text, "decimal(38,0)"), cut)
 
 
-def coerce_float(value: Column) -> Column:
-    return parse_double(strip(value))
+def coerce_float(value: Column, stripped: Column | None = None) -> Column:
+    return parse_double(strip(value) if stripped is None else stripped)
 
 
-def coerce_str(value: Column) -> Column:
+def coerce_str(value: Column, stripped: Column | None = None) -> Column:
     """Stripped text. Blank text of length 0 gives null, mere white space ``''``."""
     text = value.cast("string")
-    return F.when(~_blank(text), strip(text))
+    return F.when(~_blank(text), strip(text) if stripped is None else stripped)
 
 
 _COERCERS = {"bool": coerce_bool, "int": coerce_int, "float": coerce_float, "str": coerce_str}
 
 
-def coerce(value: Column, kind: str) -> Column:
-    return _COERCERS[kind](value)
+def coerce(value: Column, kind: str, stripped: Column | None = None) -> Column:
+    """Value of the given type; ``stripped`` may pass text that is already stripped."""
+    return _COERCERS[kind](value, stripped)
 
 
 def strict_bool(value: Column, source_kind: str = "str") -> Column:
@@ -98,8 +119,7 @@ def strict_int(value: Column, source_kind: str = "str") -> Column:
     """Whole-number text only (``'3.7'`` fails); a stored number is cut."""
     if source_kind != "str":
         return value.try_cast("bigint")
-    text = strip(value)
-    return F.when(text.rlike(INTEGER_PATTERN), F.replace(text, F.lit("_"), F.lit("")).try_cast("bigint"))
+    return _integer(strip(value), "bigint")
 
 
 def strict_float(value: Column, source_kind: str = "str") -> Column:

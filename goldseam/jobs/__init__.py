@@ -1,5 +1,5 @@
 """Registered queries by input, each beside the SQL it is compared with."""
 
-from goldseam.jobs import events, matches, squads
+from goldseam.jobs import conversations, events, matches, squads, tables
 
-REGISTRY = (matches, squads, events)
+REGISTRY = (matches, squads, events, conversations, tables)

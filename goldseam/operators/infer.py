@@ -21,29 +21,30 @@ def _fold(texts: Column, whole: Column, boolean: Column) -> Column:
     )
 
 
-def _text_kind(value: Column) -> Column:
-    text = strip(value)
-    present = text != ""  # a blank or null value says nothing about the type
-    number = parse_double(text)
-    finite = number.isNotNull() & ~F.isnan(number) & (F.abs(number) < float("inf"))
-    return _fold(
-        F.when(present, number.isNotNull()),
-        F.when(present, finite & (F.floor(number) == number)),
-        F.when(present, F.lower(text).isin(*BOOLEAN_WORDS)),
-    )
-
-
 def infer_types(df: DataFrame, sample_rows: int | None = None) -> DataFrame:
     """``(column_name, inferred_type)`` of text columns: one scan, one row per task shuffled.
 
     All rows are looked at; ``sample_rows`` looks at the first ones of a file only.
     """
     rows = df if sample_rows is None else df.limit(sample_rows)
-    kinds = rows.agg(*[_text_kind(F.col(f"`{c}`")).alias(c) for c in df.columns])
-    pairs = F.array(
-        *[F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").alias("inferred_type")) for c in df.columns]
+    texts = rows.select(*[F.nullif(strip(F.col(f"`{c}`")), F.lit("")).alias(c) for c in df.columns])
+    # One long column keeps the compiled code small however wide the table is.
+    long = texts.unpivot([], [f"`{c}`" for c in df.columns], "column_name", "text")
+    parsed = long.withColumn("number", parse_double(F.col("text")))
+    text, number = F.col("text"), F.col("number")
+    present = text.isNotNull()  # a blank or null value says nothing about the type
+    whole = number.isNotNull() & (number % 1 == 0)  # not so for nan and the infinities
+    inferred = _fold(
+        F.when(present, number.isNotNull()),
+        F.when(present, whole),
+        F.when(present, F.lower(text).isin(*BOOLEAN_WORDS)),
+    )
+    found = parsed.groupBy("column_name").agg(inferred.alias("inferred_type"))
+    # A table without rows has columns too; nothing is known of them but that they are text.
+    names = df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(c) for c in df.columns])).alias("column_name"))
+    return names.join(found, "column_name", "left").select(
+        "column_name", F.coalesce("inferred_type", F.lit("str")).alias("inferred_type")
     )
-    return kinds.select(F.inline(pairs))
 
 
 def infer_json_types(df: DataFrame, variant: str) -> DataFrame:
@@ -116,5 +117,13 @@ def apply_type_policy(types: dict[str, str]) -> dict[str, str]:
 
 
 def retype(df: DataFrame, types: dict[str, str]) -> DataFrame:
-    """Coerce every column of ``types``; other columns are left out."""
-    return df.select(*[coerce(F.col(f"`{c}`"), kind).alias(c) for c, kind in types.items()])
+    """Coerce every column of ``types``; other columns are left out.
+
+    Stripping is a projection of its own, so that it runs once per value.
+    """
+    numbered = list(enumerate(types.items()))
+    texts = df.select(
+        *[F.col(f"`{c}`").cast("string").alias(f"v{i}") for i, (c, _) in numbered],
+        *[strip(F.col(f"`{c}`")).alias(f"s{i}") for i, (c, _) in numbered],
+    )
+    return texts.select(*[coerce(F.col(f"v{i}"), kind, F.col(f"s{i}")).alias(c) for i, (c, kind) in numbered])

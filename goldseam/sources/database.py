@@ -7,15 +7,20 @@ import os
 import sqlite3
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+import goldseam
 from goldseam.functions.coerce import coerce_strict
 from goldseam.types import declared_type
 
 ROWS_PER_BATCH = 10_000
 
+# Executors get the reader with the plan and need no copy of this package.
+cloudpickle.register_pickle_by_value(goldseam)
+
 
 def read_jdbc(
     spark: SparkSession, url: str, table: str, partition_column: str, bounds: tuple, partitions: int, **options: str

@@ -69,11 +69,18 @@ class Lake:
     def _new_folder(self, table: str, layer: str) -> str:
         return f"{self.root}/{layer}/{table}/{uuid.uuid4().hex}"
 
-    def ensure(self, table: str, schema: T.StructType | str, audit: bool = True, layer: str = "bronze") -> None:
-        """Create the table if it is absent."""
+    def ensure(
+        self,
+        table: str,
+        schema: T.StructType | str,
+        audit: bool = True,
+        layer: str = "bronze",
+        raw: bool = True,
+    ) -> None:
+        """Create the table if it is absent; ``raw`` tables get Bronze column names."""
         if isinstance(schema, str):
             schema = T.StructType.fromDDL(schema)
-        fields = [T.StructField(column_name(f.name) if audit else f.name, f.dataType) for f in schema.fields]
+        fields = [T.StructField(column_name(f.name) if raw else f.name, f.dataType) for f in schema.fields]
         if audit:
             fields += T.StructType.fromDDL(AUDIT_SCHEMA).fields
         columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
@@ -151,7 +158,7 @@ class Lake:
         return seen.get["n"]
 
     def append_dead_letters(self, dead: DataFrame, source: str, run_id: str, at: Column) -> int:
-        self.ensure(DEAD_LETTER_TABLE, DEAD_LETTER_SCHEMA, audit=False)
+        self.ensure(DEAD_LETTER_TABLE, DEAD_LETTER_SCHEMA, audit=False, raw=False)
         return self.append(dead_letters(dead, source, run_id, at), DEAD_LETTER_TABLE)
 
     def watermark(self, source: str):
@@ -163,7 +170,7 @@ class Lake:
 
     def move_watermark(self, source: str, loaded_at, rows: int, run_id: str, updated_at: Column | None = None) -> None:
         """Insert or replace the watermark of one source."""
-        self.ensure(WATERMARK_TABLE, WATERMARK_SCHEMA, audit=False)
+        self.ensure(WATERMARK_TABLE, WATERMARK_SCHEMA, audit=False, raw=False)
         update = self.spark.range(1).select(
             F.lit(source).alias("source_name"),
             (loaded_at if isinstance(loaded_at, Column) else F.lit(loaded_at)).cast("timestamp_ntz").alias("last_loaded_at"),
@@ -184,7 +191,7 @@ class Lake:
             df.createOrReplaceTempView(table)
             return self.spark.table(table)
         if not self.exists(table, layer):
-            self.ensure(table, df.schema, audit=False, layer=layer)
+            self.ensure(table, df.schema, audit=False, layer=layer, raw=False)
         else:
             self.apply_drift(table, df.schema, layer=layer)
         self.reload(df, table, layer)
