@@ -46,9 +46,13 @@ def tag_pii_columns(df: DataFrame, parity: bool = False) -> DataFrame:
 
 def count_pii_values(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     """Rows in whose text something has the shape of personal data, with counts per shape."""
-    counted = df.select(
-        *keep, *[F.regexp_count(F.col(text), F.lit(p)).alias(f"n_{shape}") for shape, p in PII_SHAPES.items()]
-    )
+
+    def count(shape: str, pattern: str) -> Column:
+        n = F.regexp_count(F.col(text), F.lit(pattern))
+        # Most texts have no @ at all, which a plain search finds out faster.
+        return F.when(F.contains(F.col(text), F.lit("@")), n).otherwise(0) if shape == "email" else n
+
+    counted = df.select(*keep, *[count(shape, p).alias(f"n_{shape}") for shape, p in PII_SHAPES.items()])
     found = F.greatest(*[F.col(f"n_{shape}") for shape in PII_SHAPES])
     return counted.filter(found > 0)
 

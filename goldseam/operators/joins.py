@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from goldseam.session import scratch_path
+
 # A key with more rows than this is spread over several tasks.
 ROWS_PER_SPLIT = 2_000_000
 # Only this many of the largest keys are spread. Any other key is below
@@ -12,6 +14,22 @@ ROWS_PER_SPLIT = 2_000_000
 HOT_KEYS_MAX = 1000
 
 
+def hot_keys(df: DataFrame, keys: list[str], rows_per_split: int = ROWS_PER_SPLIT) -> list:
+    """The keys with too many rows for one task, at most HOT_KEYS_MAX of them.
+
+    Tasks count before the shuffle and only the largest counts come back.
+    """
+    return (
+        df.groupBy(*keys)
+        .agg(F.count("*").alias("_n"))
+        .filter(F.col("_n") > rows_per_split)
+        .orderBy(F.desc("_n"))
+        .limit(HOT_KEYS_MAX)
+        .select(*keys, F.ceil(F.col("_n") / rows_per_split).cast("int").alias("_splits"))
+        .collect()
+    )
+
+
 def skew_join(
     left: DataFrame,
     right: DataFrame,
@@ -21,24 +39,22 @@ def skew_join(
 ) -> DataFrame:
     """Inner or left equi-join where single keys of ``left`` may be huge.
 
-    ``right`` should be unique per key, or nearly. Rows of a hot key get a
-    split number, and the matching rows of ``right`` are copied once per split.
-    The hot-key table is broadcast: it never has more than HOT_KEYS_MAX rows.
+    ``right`` should be unique per key, or nearly. Without huge keys this is a
+    plain join. Else rows of a hot key get a split number, and the matching rows
+    of ``right`` are copied once per split. The table of hot keys has no more
+    than HOT_KEYS_MAX rows, so it can be broadcast.
     """
-    hot = (
-        left.groupBy(*keys)
-        .agg(F.count("*").alias("_n"))
-        .filter(F.col("_n") > rows_per_split)
-        .orderBy(F.desc("_n"))
-        .limit(HOT_KEYS_MAX)
-        .select(*keys, F.ceil(F.col("_n") / rows_per_split).cast("int").alias("_splits"))
-    )
+    found = hot_keys(left, keys, rows_per_split)
+    if not found:
+        return left.join(right, keys, how)
+    schema = left.select(*keys).schema.add("_splits", "int")
+    hot = F.broadcast(left.sparkSession.createDataFrame(found, schema))
     splits = F.coalesce("_splits", F.lit(1))
     # Rows of one task are dealt out in turn, so equal rows spread as well.
-    spread = left.join(F.broadcast(hot), keys, "left").select(
+    spread = left.join(hot, keys, "left").select(
         *left.columns, F.pmod(F.monotonically_increasing_id(), splits).cast("int").alias("_split")
     )
-    copied = right.join(F.broadcast(hot), keys, "left").select(
+    copied = right.join(hot, keys, "left").select(
         *right.columns, F.explode(F.sequence(F.lit(0), splits - 1)).alias("_split")
     )
     return spread.join(copied, [*keys, "_split"], how).drop("_split")
@@ -54,22 +70,21 @@ def orphan_keys(child: DataFrame, key: str, parent: DataFrame, parent_key: str)
 
 
 def _blocks(df: DataFrame, order: list[str], blocks: int | None) -> DataFrame:
-    """Rows sorted into ranges of about equal size, written to the shared folder.
+    """Rows sorted into ranges of about equal size, as a table in the shared folder.
 
-    The checkpoint fixes the range each row is in, so that later reads (also
-    those after a lost executor) see the same blocks.
+    Writing fixes the range each row is in, so that later reads (also those
+    after a lost executor) see the same blocks.
     """
-    from goldseam.session import shared_dir
-
-    shared_dir(df.sparkSession)  # sets a checkpoint folder where none is configured
     ranged = df.repartitionByRange(blocks, *order) if blocks else df.repartitionByRange(*order)
-    return (
+    path = scratch_path(df.sparkSession, "ranges")
+    (
         ranged.sortWithinPartitions(*order)
         .withColumn("_block", F.spark_partition_id())
         # The lower 33 bits are the position in the partition.
         .withColumn("_pos", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-        .checkpoint()
+        .write.parquet(path)
     )
+    return df.sparkSession.read.parquet(path)
 
 
 def running_number(df: DataFrame, order: list[str], name: str, blocks: int | None = None) -> DataFrame:

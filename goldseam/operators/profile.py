@@ -9,6 +9,8 @@ plan up to the shuffle, which Spark therefore runs once.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,17 +34,30 @@ NUMERIC_KINDS = ("int", "float")
 def value_counts(df: DataFrame, columns: list[str] | None = None, trimmed: bool = True) -> DataFrame:
     """``(column_name, value, n)``: how often each text occurs in each column.
 
-    With ``trimmed``, blank text counts as null.
+    Columns are counted in groups of one type, each group on values of that
+    type: a scan per group reads only its own columns, numbers take less room in
+    the shuffle than their digits, and only distinct values become text. With
+    ``trimmed``, blank text counts as null.
     """
-    columns = columns or df.columns
+    groups: dict[T.DataType, list[str]] = {}
+    for f in df.schema.fields:
+        if columns is None or f.name in columns:
+            groups.setdefault(f.dataType, []).append(f.name)
+    counted = [_counts_of_one_type(df, names, t, trimmed) for t, names in groups.items()]
+    return reduce(DataFrame.unionByName, counted)
+
+
+def _counts_of_one_type(df: DataFrame, names: list[str], data_type: T.DataType, trimmed: bool) -> DataFrame:
+    simple = isinstance(data_type, (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType))
 
-    def as_text(c: str) -> Column:
-        text = F.col(f"`{c}`").cast("string")
-        return F.nullif(strip(text), F.lit("")) if trimmed else text
+    def countable(c: str) -> Column:
+        value = F.col(f"`{c}`") if simple else F.col(f"`{c}`").cast("string")
+        return F.nullif(strip(value), F.lit("")) if trimmed and not simple else value
 
-    wide = df.select(*[as_text(c).alias(c) for c in columns])
-    long = wide.unpivot([], [f"`{c}`" for c in columns], "column_name", "value")
-    return long.groupBy("column_name", "value").agg(F.count("*").alias("n"))
+    wide = df.select(*[countable(c).alias(c) for c in names])
+    long = wide.unpivot([], [f"`{c}`" for c in names], "column_name", "value")
+    counts = long.groupBy("column_name", "value").agg(F.count("*").alias("n"))
+    return counts.withColumn("value", F.col("value").cast("string"))
 
 
 def _listed(counts: DataFrame, limit: int) -> DataFrame:
