@@ -78,7 +78,9 @@ def coerce_bool(value: Column, stripped: Column | None = None) -> Column:
 
 def coerce_int(value: Column, stripped: Column | None = None) -> Column:
     """Whole part of the number, cut toward zero; null beyond 64 bits."""
-    return _finite(strip(value) if stripped is None else stripped).try_cast("bigint")
+    whole = _finite(strip(value) if stripped is None else stripped).try_cast("bigint")
+    # No double equals the largest long: the cast has met 2^63, which does not fit.
+    return F.nullif(whole, F.lit((1 << 63) - 1))
 
 
 def coerce_wide_int(value: Column) -> Column:

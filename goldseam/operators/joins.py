@@ -47,7 +47,7 @@ def skew_join(
     found = hot_keys(left, keys, rows_per_split)
     if not found:
         return left.join(right, keys, how)
-    schema = left.select(*keys).schema.add("_splits", "int")
+    schema = left.select(*keys).schema.add("_splits", "integer")
     hot = F.broadcast(left.sparkSession.createDataFrame(found, schema))
     splits = F.coalesce("_splits", F.lit(1))
     # Rows of one task are dealt out in turn, so equal rows spread as well.

@@ -94,13 +94,14 @@ class Lake:
         existing = {c.upper() for c in self.columns(table, layer)}
         if not existing:
             return []
-        added = [f for f in schema.fields if column_name(f.name) not in existing]
+        names = {f: column_name(f.name) if layer == "bronze" else f.name for f in schema.fields}
+        added = [f for f, name in names.items() if name.upper() not in existing]
         if added and policy == "halt":
             raise SchemaDriftError(f"{table}: new columns {[f.name for f in added]}")
         if added:
-            columns = ", ".join(f"`{column_name(f.name)}` {f.dataType.simpleString()}" for f in added)
+            columns = ", ".join(f"`{names[f]}` {f.dataType.simpleString()}" for f in added)
             self.spark.sql(f"ALTER TABLE {self.name(table, layer)} ADD COLUMNS ({columns})")
-        return [column_name(f.name) for f in added]
+        return [names[f] for f in added]
 
     def _aligned(self, df: DataFrame, table: str, layer: str, extra: tuple[Column, ...] = ()) -> DataFrame:
         """Columns in table order and type; one that the rows lack is null."""
