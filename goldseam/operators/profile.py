@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,6 +28,9 @@ CATEGORICAL_MIN_DISTINCT = 2
 CATALOG_RATIO_MAX = 0.10
 CATALOG_VALUES_MAX = 60
 
+CATALOG_SCHEMA = (
+    "table_name string, column_name string, distinct_count bigint, total bigint, distinct_values array<string>"
+)
 NUMERIC_KINDS = ("int", "float")
 
 
@@ -60,22 +63,18 @@ def _counts_of_one_type(df: DataFrame, names: list[str], data_type: T.DataType,
     return counts.withColumn("value", F.col("value").cast("string"))
 
 
-def _listed(counts: DataFrame, limit: int) -> DataFrame:
-    """First ``limit + 1`` values of each column, in order and null last, as an array.
+def _listed(counts: DataFrame, facts: DataFrame, limit: int) -> DataFrame:
+    """The values of the columns with up to ``limit`` distinct ones, in order and null last.
 
-    The rank filter is applied in each task before the rows of a column meet,
-    so at most ``limit + 1`` values per column and task are moved. Nothing is
-    filtered below the counting, and the always true test on ``n`` keeps that
-    column: up to the shuffle this is the plan of the facts.
+    Columns with more values are dropped by a join with the facts (one row per
+    column, so it can be broadcast), hence no array exceeds ``limit + 1``. It is an
+    inner join, and ``n`` is tested, so that up to the shuffle this stays the plan
+    of the facts: a semi join would be pushed below the counting.
     """
-    order = Window.partitionBy("column_name").orderBy(F.col("value").asc_nulls_last())
-    ranked = (
-        counts.filter(F.col("n") > 0)
-        .withColumn("_rank", F.row_number().over(order))
-        .filter(F.col("_rank") <= limit + 1)
-    )
-    by_rank = F.array_sort(F.collect_list(F.struct("_rank", "value")))
-    return ranked.groupBy("column_name").agg(F.transform(by_rank, lambda e: e["value"]).alias("_values"))
+    few = F.broadcast(facts.filter(F.col("distinct_count") <= limit).select("column_name"))
+    values = counts.filter(F.col("n") > 0).join(few, "column_name")
+    in_order = F.array_sort(F.collect_list(F.struct(F.col("value").isNull().alias("last"), "value")))
+    return values.groupBy("column_name").agg(F.transform(in_order, lambda e: e["value"]).alias("_values"))
 
 
 def _columns_frame(df: DataFrame, types: dict[str, str]) -> DataFrame:
@@ -112,10 +111,10 @@ def profile_columns(df: DataFrame, types: dict[str, str], sample_rows: int | Non
     facts = counts.groupBy("column_name").agg(
         F.sum("n").alias("_total"),
         F.sum(F.when(present, F.col("n"))).alias("_present"),
-        F.count("value").alias("_distinct"),
+        F.count("value").alias("distinct_count"),
         F.bool_or(negative).alias("_negative"),
     )
-    listed = _listed(counts, LISTED_VALUES_MAX)
+    listed = _listed(counts, facts, LISTED_VALUES_MAX)
     kind = F.col("inferred_type")
     no_values = F.array().cast("array<string>")
     known = (
@@ -123,7 +122,7 @@ def profile_columns(df: DataFrame, types: dict[str, str], sample_rows: int | Non
         .join(facts, "column_name", "left")
         .join(listed, "column_name", "left")
         .withColumn("sample_count", F.coalesce("_present", F.lit(0)))
-        .withColumn("distinct_count", F.coalesce("_distinct", F.lit(0)))
+        .withColumn("distinct_count", F.coalesce("distinct_count", F.lit(0)))
     )
     return known.select(
         "column_name",
@@ -209,16 +208,16 @@ def categorical_catalog(df: DataFrame, table_name: str, columns: list[str] | Non
     rows yields nothing.
     """
     texts = columns or [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    if not texts:
+        return df.sparkSession.createDataFrame([], CATALOG_SCHEMA)
     counts = value_counts(df, texts, trimmed=False)
     facts = counts.groupBy("column_name").agg(
         F.count("value").alias("distinct_count"), F.sum("n").alias("total")
     )
-    # One more than the limit, for the null that does not count as a value.
-    listed = _listed(counts, CATALOG_VALUES_MAX + 1)
-    few = (F.col("total") > 0) & (F.col("distinct_count") <= CATALOG_VALUES_MAX)
+    few = (F.col("total") > 0) & (ratio(F.col("distinct_count"), F.col("total")) <= CATALOG_RATIO_MAX)
     return (
-        facts.filter(few & (ratio(F.col("distinct_count"), F.col("total")) <= CATALOG_RATIO_MAX))
-        .join(listed, "column_name")
+        facts.filter(few)
+        .join(_listed(counts, facts, CATALOG_VALUES_MAX), "column_name")
         .select(
             F.lit(table_name).alias("table_name"),
             "column_name",
@@ -227,3 +226,13 @@ def categorical_catalog(df: DataFrame, table_name: str, columns: list[str] | Non
             F.col("_values").alias("distinct_values"),
         )
     )
+
+
+def mart_catalog(spark: SparkSession, database: str, pattern: str = "mart_%") -> DataFrame:
+    """Value catalogs of all tables of a database whose name matches, e.g. the marts."""
+    tables = spark.sql(f"SHOW TABLES IN `{database}`").filter(F.ilike("tableName", F.lit(pattern)))
+    names = sorted(r["tableName"] for r in tables.select("tableName").collect())
+    catalogs = [categorical_catalog(spark.table(f"`{database}`.`{n}`"), n) for n in names]
+    if not catalogs:
+        return spark.createDataFrame([], CATALOG_SCHEMA)
+    return reduce(DataFrame.unionByName, catalogs)

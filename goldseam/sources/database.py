@@ -42,9 +42,17 @@ def _connect(path: str) -> sqlite3.Connection:
     return sqlite3.connect(f"file:{path}?mode=ro", uri=True)
 
 
+def _mounted(path: str) -> str:
+    """The path as the operating system knows it; SQLite reads mounted folders only."""
+    path = path.removeprefix("file://").removeprefix("file:")
+    if "://" in path:
+        raise ValueError(f"SQLite files must be in a folder that all executors mount, not at {path}")
+    return path
+
+
 def _database_files(path: str) -> list[str]:
     """A file, or the ``.db`` files of a folder; executors must see the same path."""
-    path = path.removeprefix("file://").removeprefix("file:")
+    path = _mounted(path)
     files = sorted(glob.glob(os.path.join(path, "*.db"))) if os.path.isdir(path) else [path]
     found = [f for f in files if os.path.exists(f)]
     if not found:
@@ -170,7 +178,7 @@ def write_sqlite_shards(df: DataFrame, folder: str, table: str, declarations: di
     columns = list(declarations)
     created = ", ".join(f"{_quoted(c)} {kind}" for c, kind in declarations.items())
     inserted = f"INSERT INTO {_quoted(table)} VALUES ({', '.join('?' for _ in columns)})"
-    root = folder.removeprefix("file://").removeprefix("file:")
+    root = _mounted(folder)
     os.makedirs(root, exist_ok=True)
 
     def write(batches):

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from goldseam.operators.flatten import MATCH_DOCUMENT, SQUAD_ROW
 from goldseam.operators.infer import retype
@@ -25,20 +24,20 @@ def has_spanning_records(spark: SparkSession, path: str) -> bool:
 def read_csv_text(
     spark: SparkSession, path: str, columns: list[str] | None = None, multi_line: bool | None = None
 ) -> DataFrame:
-    """All columns as text, named by the header.
+    """Columns as text, found by their name in the header; one that is missing is null.
 
     Files whose records span lines cannot be cut into several tasks; all others
     can. By default one cheap scan of the files finds out which kind they are.
     """
     if multi_line is None:
         multi_line = has_spanning_records(spark, path)
-    reader = spark.read.options(**_CSV, multiLine=str(multi_line).lower())
-    if columns:
-        reader = reader.schema(T.StructType([T.StructField(c, T.StringType()) for c in columns]))
-    df = reader.csv(path)
+    df = spark.read.options(**_CSV, multiLine=str(multi_line).lower()).csv(path)
     if not df.columns:
         raise ValueError(f"CSV has no header: {path}")
-    return df
+    if columns is None:
+        return df
+    missing = F.lit(None).cast("string")
+    return df.select(*[(F.col(f"`{c}`") if c in df.columns else missing).alias(c) for c in columns])
 
 
 def read_csv_typed(spark: SparkSession, path: str, types: dict[str, str], multi_line: bool | None = None) -> DataFrame:

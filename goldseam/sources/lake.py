@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from goldseam.functions.text import row_hash
 from goldseam.operators.split import REASON, dead_letters
 from goldseam.operators.state import WATERMARK_SCHEMA, absent_seeds, upsert
 from goldseam.spec import AUDIT_COLUMNS, DEAD_LETTER_TABLE, LAYERS, WATERMARK_TABLE, column_name
@@ -37,6 +38,13 @@ def with_audit(df: DataFrame, source: str, run_id: str, at: Column) -> DataFrame
     return df.withColumns(dict(zip(AUDIT_COLUMNS, (at, F.lit(source), F.lit(run_id)))))
 
 
+def with_row_id(df: DataFrame, batch_id: str, at: Column) -> DataFrame:
+    """The control columns of contract tables: hash of the row, batch and load time, in front."""
+    return df.select(
+        row_hash(df.columns).alias("_row_id"), F.lit(batch_id).alias("_batch_id"), at.alias("_ingested_at"), *df.columns
+    )
+
+
 def normalise_columns(df: DataFrame) -> DataFrame:
     """Bronze column names; two columns that become equal are an error."""
     names = [c if c in AUDIT_COLUMNS else column_name(c) for c in df.columns]
@@ -186,6 +194,19 @@ class Lake:
         """Add the seed rows whose key is absent."""
         return self.append(absent_seeds(seeds, self.read(table, layer), key), table, layer)
 
+    def remove_old_versions(self, table: str, layer: str = "bronze") -> int:
+        """Delete the folders that earlier full writes have left; no reader may still be using them.
+
+        Returns how many were deleted. Only folders are listed, no data is read.
+        """
+        described = self.spark.sql(f"DESCRIBE TABLE EXTENDED {self.name(table, layer)}")
+        current = described.filter("col_name = 'Location'").first()["data_type"]
+        jvm = self.spark.sparkContext._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{layer}/{table}")
+        fs = folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        old = [s.getPath() for s in fs.listStatus(folder) if s.getPath().getName() not in current.split("/")]
+        return sum(fs.delete(path, True) for path in old)
+
     def materialise(self, df: DataFrame, table: str, layer: str, kind: str = "table") -> DataFrame:
         """Publish a model in its layer, as a table or, for staging models, as a view."""
         if kind == "view":

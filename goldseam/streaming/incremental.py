@@ -4,40 +4,52 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from goldseam.operators.split import REASON
+from goldseam.sources.lake import Lake, now
 
 BATCH_ID = "_batch_id"
 
 
-def write_batch(flagged: DataFrame, batch_id: int, target: str) -> None:
+def write_batch(flagged: DataFrame, batch_id: int, target: str) -> int:
     """Write one micro-batch, valid and rejected rows apart, into folders named by the batch.
 
     A batch that is run again after a failure overwrites its own folder, so its
-    rows are never there twice.
+    rows are never there twice. Returns the number of valid rows.
     """
+    seen = Observation()
     valid = F.col(REASON).isNull().alias("row_valid")
     (
         flagged.select(*flagged.columns, valid)
+        .observe(seen, F.count_if(F.col("row_valid")).alias("n"))
         .write.mode("overwrite")
         .partitionBy("row_valid")
         .parquet(f"{target}/{BATCH_ID}={batch_id}")
     )
+    return seen.get["n"]
 
 
 def load_new_files(
-    stream: DataFrame, flag: Callable[[DataFrame], DataFrame], target: str, checkpoint: str
+    stream: DataFrame,
+    flag: Callable[[DataFrame], DataFrame],
+    target: str,
+    checkpoint: str,
+    lake: Lake | None = None,
+    source: str | None = None,
 ) -> StreamingQuery:
     """Process what has arrived since the last run, then stop.
 
-    The stream's checkpoint takes the place of a watermark value.
+    The stream's checkpoint takes the place of a watermark value. With ``lake``
+    and ``source`` the watermark table is still kept, as a record of the loads.
     """
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        write_batch(flag(batch), batch_id, target)
+        rows = write_batch(flag(batch), batch_id, target)
+        if lake is not None:
+            lake.move_watermark(source, now(), rows, f"batch-{batch_id}")
 
     return (
         stream.writeStream.foreachBatch(process)
@@ -47,7 +59,7 @@ def load_new_files(
     )
 
 
-def read_loaded(spark, target: str, valid: bool = True) -> DataFrame:
+def read_loaded(spark: SparkSession, target: str, valid: bool = True) -> DataFrame:
     """Rows of all batches, with the batch they came in."""
     rows = spark.read.option("basePath", target).parquet(target)
     return rows.filter(F.col("row_valid") == valid).drop("row_valid", *([REASON] if valid else []))

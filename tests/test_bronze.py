@@ -11,7 +11,7 @@ from goldseam.operators.state import absent_seeds, newer_than, summarize_runs, u
 from goldseam.plans.ingest import ingest, run_log
 from goldseam.sources import database
 from goldseam.sources.files import has_spanning_records, read_csv_text
-from goldseam.sources.lake import SchemaDriftError, normalise_columns, with_audit
+from goldseam.sources.lake import SchemaDriftError, normalise_columns, with_audit, with_row_id
 from goldseam.spec import (
     Slo,
     SourceSpec,
@@ -167,6 +167,28 @@ def test_a_table_can_be_rewritten_from_itself(spark, lake):
     assert sorted(r[0] for r in lake.read("T", "gold").collect()) == [3, 4]
 
 
+def test_old_versions_can_be_removed(spark, lake):
+    lake.ensure("T", "id bigint", audit=False, layer="gold", raw=False)
+    for n in (1, 2, 3):
+        lake.reload(spark.range(n), "T", "gold")
+    assert lake.remove_old_versions("T", "gold") == 2
+    assert lake.read("T", "gold").count() == 3
+    lake.append(spark.range(1), "T", "gold")
+    assert lake.remove_old_versions("T", "gold") == 0 and lake.read("T", "gold").count() == 4
+
+
+def test_contract_tables_get_row_ids(spark, rows):
+    df = spark.createDataFrame([(1, None), (1, None), (2, "x")], "a int, b string")
+    marked = with_row_id(df, "b1", F.lit("2026-06-11").cast("timestamp_ntz"))
+    assert marked.columns == ["_row_id", "_batch_id", "_ingested_at", "a", "b"]
+    assert marked.select("_row_id").distinct().count() == 2
+
+
+def test_csv_columns_are_found_by_name(spark, tmp_path):
+    path = csv_file(tmp_path, "x.csv", ["b,a", "1,2"])
+    assert tuple(read_csv_text(spark, path, ["a", "b", "c"]).first()) == ("2", "1", None)
+
+
 def test_models_as_view_and_table(spark, lake):
     view = lake.materialise(spark.range(3), "stg_x", "silver", "view")
     mart = lake.materialise(view.selectExpr("id", "id * 2 as twice"), "mart_x", "gold")

@@ -130,6 +130,16 @@ def test_catalog_lists_null_but_does_not_count_it(spark):
     assert len(profile.categorical_catalog(sixty, "t").first()["distinct_values"]) == 61
 
 
+def test_catalog_of_all_marts(spark, lake):
+    rows = spark.createDataFrame([("a", 1)] * 15 + [("b", 2)] * 15, "team string, n int")
+    lake.materialise(rows, "mart_one", "gold")
+    lake.materialise(rows, "other", "gold")
+    lake.materialise(rows.select("n"), "mart_numbers", "gold")
+    got = profile.mart_catalog(spark, f"{lake.prefix}gold").collect()
+    assert [(r.table_name, r.column_name, list(r.distinct_values)) for r in got] == [("mart_one", "team", ["a", "b"])]
+    assert profile.mart_catalog(spark, f"{lake.prefix}silver").count() == 0
+
+
 def test_typed_columns_are_counted_by_type(spark):
     df = spark.createDataFrame([(1, 1.5, "a", True), (1, 2.5, "b", None)], "i int, d double, s string, b boolean")
     got = {(r.column_name, r.value, r.n) for r in profile.value_counts(df).collect()}

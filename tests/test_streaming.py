@@ -6,13 +6,13 @@ from goldseam.operators.split import flag_rows
 from goldseam.streaming.incremental import load_new_files, read_loaded, write_batch
 
 
-def test_only_new_files_are_loaded(spark, tmp_path):
+def test_only_new_files_are_loaded(spark, lake, tmp_path):
     landing, target, checkpoint = (str(tmp_path / x) for x in ("landing", "target", "checkpoint"))
     schema = "id bigint, v string"
 
     def run():
         stream = spark.readStream.schema(schema).json(landing)
-        load_new_files(stream, flag_rows, target, checkpoint).awaitTermination()
+        load_new_files(stream, flag_rows, target, checkpoint, lake, "api").awaitTermination()
         return sorted((r.id, r["_batch_id"]) for r in read_loaded(spark, target).collect())
 
     spark.createDataFrame([(1, "a"), (2, None)], schema).write.json(landing)
@@ -21,6 +21,8 @@ def test_only_new_files_are_loaded(spark, tmp_path):
     spark.createDataFrame([(3, "c")], schema).write.mode("append").json(landing)
     assert run() == [(1, 0), (3, 1)]
     assert [r.id for r in read_loaded(spark, target, valid=False).collect()] == [2]
+    mark = lake.read("INGESTION_WATERMARKS").first()
+    assert (mark.source_name, mark.last_batch_id, mark.rows_loaded) == ("api", "batch-1", 1)
 
 
 def test_a_repeated_batch_replaces_itself(spark, tmp_path):
