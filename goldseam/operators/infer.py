@@ -21,10 +21,11 @@ def _fold(texts: Column, whole: Column, boolean: Column) -> Column:
     )
 
 
-def infer_types(df: DataFrame, sample_rows: int | None = None) -> DataFrame:
-    """``(column_name, inferred_type)`` of text columns: one scan, one row per task shuffled.
+def inspect_columns(df: DataFrame, sample_rows: int | None = None) -> DataFrame:
+    """``(column_name, inferred_type, null_rate)`` of text columns.
 
-    All rows are looked at; ``sample_rows`` looks at the first ones of a file only.
+    One scan and one row per column and task shuffled. All rows are looked at;
+    ``sample_rows`` looks at the first ones of a file only.
     """
     rows = df if sample_rows is None else df.limit(sample_rows)
     texts = rows.select(*[F.nullif(strip(F.col(f"`{c}`")), F.lit("")).alias(c) for c in df.columns])
@@ -39,12 +40,17 @@ def infer_types(df: DataFrame, sample_rows: int | None = None) -> DataFrame:
         F.when(present, whole),
         F.when(present, F.lower(text).isin(*BOOLEAN_WORDS)),
     )
-    found = parsed.groupBy("column_name").agg(inferred.alias("inferred_type"))
+    found = parsed.groupBy("column_name").agg(
+        inferred.alias("inferred_type"), F.avg((~present).cast("int")).alias("null_rate")
+    )
     # A table without rows has columns too; nothing is known of them but that they are text.
     names = df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(c) for c in df.columns])).alias("column_name"))
-    return names.join(found, "column_name", "left").select(
-        "column_name", F.coalesce("inferred_type", F.lit("str")).alias("inferred_type")
-    )
+    return names.join(found, "column_name", "left").fillna("str", ["inferred_type"]).fillna(0.0, ["null_rate"])
+
+
+def infer_types(df: DataFrame, sample_rows: int | None = None) -> DataFrame:
+    """``(column_name, inferred_type)`` of text columns."""
+    return inspect_columns(df, sample_rows).select("column_name", "inferred_type")
 
 
 def infer_json_types(df: DataFrame, variant: str) -> DataFrame:
@@ -95,7 +101,9 @@ def policy_type(name: str, inferred: str) -> str:
     """Type of a column by its name, or the inferred one if no rule speaks.
 
     Words are compared with whole parts of the name, so that ``discount`` is
-    not taken for a ``count``. ``score`` stays a float where it has fractions.
+    not taken for a ``count``. ``score`` stays a float where it has fractions. A
+    number rule corrects one number type to another; text such as the codes of a
+    ``position`` is never forced into a number, which would reject its rows.
     """
     lowered = name.lower()
     words = set(re.split(r"[^a-z0-9]+", lowered))
@@ -105,6 +113,8 @@ def policy_type(name: str, inferred: str) -> str:
         return "bool"
     if lowered.endswith(TEXT_SUFFIXES) or words & set(TEXT_WORDS):
         return "str"
+    if inferred == "str":
+        return "str"
     if words & set(FLOAT_WORDS):
         return "float"
     if words & set(INT_WORDS) or lowered.endswith(INT_SUFFIXES):

@@ -63,16 +63,15 @@ def _counts_of_one_type(df: DataFrame, names: list[str], data_type: T.DataType,
     return counts.withColumn("value", F.col("value").cast("string"))
 
 
-def _listed(counts: DataFrame, facts: DataFrame, limit: int) -> DataFrame:
-    """The values of the columns with up to ``limit`` distinct ones, in order and null last.
+def _listed(counts: DataFrame, few: DataFrame) -> DataFrame:
+    """The values of the columns named by ``few``, in order and null last.
 
-    Columns with more values are dropped by a join with the facts (one row per
-    column, so it can be broadcast), hence no array exceeds ``limit + 1``. It is an
-    inner join, and ``n`` is tested, so that up to the shuffle this stays the plan
-    of the facts: a semi join would be pushed below the counting.
+    ``few`` keeps the columns with a short list and has at most one row per
+    column, so it can be broadcast, and no array is longer than the limit. It is
+    an inner join, and all sides use ``n``, so that up to the shuffle this stays
+    the plan of the facts: a semi join would be pushed below the counting.
     """
-    few = F.broadcast(facts.filter(F.col("distinct_count") <= limit).select("column_name"))
-    values = counts.filter(F.col("n") > 0).join(few, "column_name")
+    values = counts.filter(F.col("n") > 0).join(F.broadcast(few.select("column_name")), "column_name")
     in_order = F.array_sort(F.collect_list(F.struct(F.col("value").isNull().alias("last"), "value")))
     return values.groupBy("column_name").agg(F.transform(in_order, lambda e: e["value"]).alias("_values"))
 
@@ -114,7 +113,7 @@ def profile_columns(df: DataFrame, types: dict[str, str], sample_rows: int | Non
         F.count("value").alias("distinct_count"),
         F.bool_or(negative).alias("_negative"),
     )
-    listed = _listed(counts, facts, LISTED_VALUES_MAX)
+    listed = _listed(counts, facts.filter((F.col("distinct_count") <= LISTED_VALUES_MAX) & (F.col("_total") > 0)))
     kind = F.col("inferred_type")
     no_values = F.array().cast("array<string>")
     known = (
@@ -214,10 +213,13 @@ def categorical_catalog(df: DataFrame, table_name: str, columns: list[str] | Non
     facts = counts.groupBy("column_name").agg(
         F.count("value").alias("distinct_count"), F.sum("n").alias("total")
     )
-    few = (F.col("total") > 0) & (ratio(F.col("distinct_count"), F.col("total")) <= CATALOG_RATIO_MAX)
+    few = facts.filter(
+        (F.col("total") > 0)
+        & (F.col("distinct_count") <= CATALOG_VALUES_MAX)
+        & (ratio(F.col("distinct_count"), F.col("total")) <= CATALOG_RATIO_MAX)
+    )
     return (
-        facts.filter(few)
-        .join(_listed(counts, facts, CATALOG_VALUES_MAX), "column_name")
+        few.join(_listed(counts, few), "column_name")
         .select(
             F.lit(table_name).alias("table_name"),
             "column_name",

@@ -9,13 +9,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from goldseam.operators.flatten import CHILD_COLUMNS, PARENT_COLUMNS, flatten_children, flatten_parents
-from goldseam.operators.infer import apply_type_policy, infer_types, retype, schema_map
-from goldseam.operators.profile import nullable_columns, profile_columns
+from goldseam.operators.infer import apply_type_policy, inspect_columns, retype
 from goldseam.operators.split import flag_null_key, flag_rows
 from goldseam.sources.database import declared_types, read_jdbc, read_sqlite
 from goldseam.sources.files import read_csv_text, read_match_documents
 from goldseam.sources.lake import Lake, now, with_audit
-from goldseam.spec import Slo, SourceSpec, slo_for
+from goldseam.spec import NULLABLE_THRESHOLD, Slo, SourceSpec, slo_for
 
 
 @dataclass(frozen=True)
@@ -32,9 +31,11 @@ class LoadResult:
 def _read_csv(lake: Lake, spec: SourceSpec) -> tuple[DataFrame, set[str]]:
     text = read_csv_text(lake.spark, spec.location, multi_line=spec.options.get("multi_line"))
     sample = spec.options.get("sample_rows")
-    inferred = schema_map(infer_types(text, sample))
-    sparse = nullable_columns(profile_columns(text, inferred, sample)).collect()
-    return retype(text, apply_type_policy(inferred)), {r["column_name"] for r in sparse}
+    # Types and null rates come from one scan; one row per column comes back.
+    facts = inspect_columns(text, sample).collect()
+    types = {r["column_name"]: r["inferred_type"] for r in facts}
+    sparse = {r["column_name"] for r in facts if r["null_rate"] > NULLABLE_THRESHOLD}
+    return retype(text, apply_type_policy(types)), sparse
 
 
 def _read_database(lake: Lake, spec: SourceSpec) -> DataFrame:
@@ -117,6 +118,17 @@ def ingest(
     )
 
 
+def ingest_all(lake: Lake, specs: list[SourceSpec], slos: dict[str, Slo] | None = None) -> list[LoadResult]:
+    """Load every source; one that cannot be read is reported as failed and the others go on."""
+    results = []
+    for spec in specs:
+        try:
+            results.append(ingest(lake, spec, (slos or {}).get(spec.source_name)))
+        except Exception as error:  # noqa: BLE001 - the failure is the result of this source
+            results.append(LoadResult(spec.source_name, "", 0, 0, "failed", f"{type(error).__name__}: {error}"))
+    return results
+
+
 def run_log(lake: Lake, results: list[LoadResult]) -> DataFrame:
     """The outcomes of a run, one row per source of the registry."""
     rows = [(r.source_name, i, r.status, r.rows_loaded, r.rows_dead) for i, r in enumerate(results)]

@@ -84,6 +84,7 @@ class Lake:
         audit: bool = True,
         layer: str = "bronze",
         raw: bool = True,
+        partition_by: str | None = None,
     ) -> None:
         """Create the table if it is absent; ``raw`` tables get Bronze column names."""
         if isinstance(schema, str):
@@ -94,6 +95,7 @@ class Lake:
         columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
         self.spark.sql(
             f"CREATE TABLE IF NOT EXISTS {self.name(table, layer)} ({columns}) USING parquet "
+            f"{f'PARTITIONED BY (`{partition_by}`) ' if partition_by else ''}"
             f"LOCATION '{self._new_folder(table, layer)}'"
         )
 
@@ -167,7 +169,7 @@ class Lake:
         return seen.get["n"]
 
     def append_dead_letters(self, dead: DataFrame, source: str, run_id: str, at: Column) -> int:
-        self.ensure(DEAD_LETTER_TABLE, DEAD_LETTER_SCHEMA, audit=False, raw=False)
+        self.ensure(DEAD_LETTER_TABLE, DEAD_LETTER_SCHEMA, audit=False, raw=False, partition_by="_source")
         return self.append(dead_letters(dead, source, run_id, at), DEAD_LETTER_TABLE)
 
     def watermark(self, source: str):

@@ -53,7 +53,7 @@ def test_json_inference(spark):
         ("created_at", "int", "str"), ("match_date", "int", "str"), ("is_open", "int", "bool"), ("sold_flag", "int", "bool"),
         ("unit_price", "int", "float"), ("goals", "float", "int"), ("home_score", "bool", "int"),
         ("home_score", "float", "float"), ("discount", "float", "float"), ("duration_seconds", "float", "int"),
-        ("city", "str", "str"), ("neutral", "bool", "bool"),
+        ("city", "str", "str"), ("position", "str", "str"), ("position", "float", "int"), ("neutral", "bool", "bool"),
     ],
 )
 def test_type_policy(name, inferred, expected):
