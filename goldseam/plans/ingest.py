@@ -6,7 +6,6 @@ import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
 from goldseam.operators.flatten import CHILD_COLUMNS, PARENT_COLUMNS, flatten_children, flatten_parents
 from goldseam.operators.infer import apply_type_policy, inspect_columns, retype

@@ -82,7 +82,10 @@ def _stored_as(column: str, kind: str) -> str:
     if kind == "int":
         return f"CASE typeof({c}) WHEN 'real' THEN CAST({c} AS INTEGER) ELSE {c} END"
     if kind == "bool":
-        return f"CASE typeof({c}) WHEN 'null' THEN NULL WHEN 'text' THEN iif({c} <> '', '1', '') WHEN 'blob' THEN iif(length({c}) > 0, '1', '') ELSE iif({c} <> 0, '1', '') END"
+        return (
+            f"CASE typeof({c}) WHEN 'null' THEN NULL WHEN 'text' THEN iif({c} <> '', '1', '') "
+            f"WHEN 'blob' THEN iif(length({c}) > 0, '1', '') ELSE iif({c} <> 0, '1', '') END"
+        )
     return c
 
 
