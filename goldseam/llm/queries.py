@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from goldseam.llm import exact_dedup, packing, pareto_mix
+from goldseam.llm import exact_dedup, jaccard_join, packing, pareto_mix, rule_quality
 from goldseam.llm.common import load
 
 
@@ -23,6 +23,14 @@ def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(load(spark, sf_dir, "documents"), tokenizer_file())
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rule_quality.quality_scores(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_join(load(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(load(spark, sf_dir, "documents"))
 
@@ -30,7 +38,9 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_mix": op1_mix,
     "op6_pack": op6_pack,
+    "op7_quality": op7_quality,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 
 ORACLE = {
