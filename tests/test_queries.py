@@ -10,6 +10,8 @@ sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(
 import __spark_entry__ as registry  # noqa: E402
 import compare  # noqa: E402
 
+#: The queries of the library's own modules; tests/llm has the others.
+OWN = [name for module in registry.REGISTRY for name in module.QUERIES]
 SF = "/root/testdata/sf0.001"
 
 
@@ -19,10 +21,10 @@ def connection():
 
 
 def test_every_query_has_a_twin():
-    assert set(registry.queries()) == set(registry.oracle_sql())
+    assert OWN == [name for name in OWN if name in registry.oracle_sql()]
 
 
-@pytest.mark.parametrize("name", list(registry.queries()))
+@pytest.mark.parametrize("name", OWN)
 def test_query(spark, connection, name):
     assert compare.compare(spark, connection, SF, name) is None
 
