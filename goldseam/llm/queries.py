@@ -4,7 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from goldseam.llm import exact_dedup, jaccard_join, packing, pareto_mix, rule_quality
+from goldseam.llm import (
+    exact_dedup,
+    jaccard_join,
+    packing,
+    pareto_mix,
+    passage_dedup,
+    piecewise_hash,
+    private_data,
+    rule_quality,
+    secrets,
+    url_filter,
+)
 from goldseam.llm.common import load
 
 
@@ -19,6 +30,22 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pareto_mix.mixed_sizes(load(spark, sf_dir, "documents"))
 
 
+def op2_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piecewise_hash.fingerprints(load(spark, sf_dir, "documents"))
+
+
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(load(spark, sf_dir, "documents"))
+
+
+def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(load(spark, sf_dir, "pages"))
+
+
+def op4_drop_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passage_dedup.drop_repeats(load(spark, sf_dir, "documents"))
+
+
 def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(load(spark, sf_dir, "documents"), tokenizer_file())
 
@@ -27,6 +54,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_quality.quality_scores(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
+def op8_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private_data.find_private_data(load(spark, sf_dir, "documents"))
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_join(load(spark, sf_dir, "documents"))
 
@@ -37,8 +68,13 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mix": op1_mix,
+    "op2_fingerprint": op2_fingerprint,
+    "op3_secrets": op3_secrets,
+    "op4_drop_repeats": op4_drop_repeats,
+    "op5_urls": op5_urls,
     "op6_pack": op6_pack,
     "op7_quality": op7_quality,
+    "op8_private_data": op8_private_data,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_jaccard_join": op10_jaccard_join,
 }
