@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from goldseam.llm.common import cut, fresh, lookup, uniform, whole
 
 WORD = r"[^\x20\x09-\x0D]+"
-BINS = 65_536
+#: Bins of ranks, looked at in groups of 2 ** STEP_BITS.
+BINS, STEP_BITS = 65_536, 8
 
 
 def word_count(text: Column) -> Column:
@@ -88,6 +89,18 @@ def _rank(u: Column, p: Column) -> Column:
     return u * (1 - p) / (u * (1 - p) + p * (1 - u))
 
 
+def _crossing(bins: DataFrame, by: str) -> DataFrame:
+    """Per source, the least ``by`` at which the summed words reach the need, and the words before it."""
+    start = F.first("start") if "start" in bins.columns else F.lit(0)
+    summed = bins.groupBy("skey", by).agg(
+        F.sum("words").alias("words"), F.first("need").alias("need"), start.alias("start")
+    )
+    so_far = Window.partitionBy("skey").orderBy(by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = summed.withColumn("upto", F.col("start") + F.sum("words").over(so_far)).filter("upto >= need")
+    first = F.min(F.struct(by, (F.col("upto") - F.col("words")).alias("before"), "need")).alias("at")
+    return cut(upto.groupBy("skey").agg(first).select("skey", "at.*"))
+
+
 def mixing_plan(measured: DataFrame, shares: tuple[float, ...], amount: float, ceiling: float) -> DataFrame:
     """Per source and size class: source_size, target, whole copies, p, and the rank up to which one more is taken."""
     classes = measured.groupBy("skey", "kind").agg(F.sum("size").cast("double").alias("words"))
@@ -109,15 +122,11 @@ def mixing_plan(measured: DataFrame, shares: tuple[float, ...], amount: float, c
     ranked = ranked.withColumn("rank", _rank(F.col("u"), F.col("p"))).withColumn(
         "bin", F.floor(F.col("rank") * BINS).cast("int")
     )
-    so_far = Window.partitionBy("skey").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    bins = ranked.groupBy("skey", "bin").agg(F.sum("size").alias("words"), F.first("need").alias("need"))
-    bins = bins.withColumn("upto", F.sum("words").over(so_far))
-    crossed = cut(
-        bins.filter("upto >= need")
-        .groupBy("skey")
-        .agg(F.min(F.struct("bin", (F.col("upto") - F.col("words")).alias("before"), "need")).alias("at"))
-        .select("skey", "at.*")
-    )
+    bins = cut(ranked.groupBy("skey", "bin").agg(F.sum("size").alias("words"), F.first("need").alias("need")))
+    # First the group of bins in which the words are reached, then the bin: both windows see STEP rows of a source.
+    group = _crossing(bins.withColumn("group", F.shiftright("bin", STEP_BITS)), "group")
+    fine = lookup(bins.drop("need").withColumn("group", F.shiftright("bin", STEP_BITS)), group, ["skey", "group"], "inner")
+    crossed = _crossing(fine.withColumnRenamed("before", "start"), "bin")
     inside = lookup(ranked.drop("need"), crossed, ["skey", "bin"], "inner")
     steps = inside.groupBy("skey", "bin", "rank", "before", "need").agg(F.sum("size").alias("words"))
     within = Window.partitionBy("skey").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
