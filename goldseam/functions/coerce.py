@@ -77,15 +77,19 @@ def coerce_bool(value: Column, stripped: Column | None = None) -> Column:
 
 
 def coerce_int(value: Column, stripped: Column | None = None) -> Column:
-    """Whole part of the number, cut toward zero; null beyond 64 bits."""
-    whole = _finite(strip(value) if stripped is None else stripped).try_cast("bigint")
+    """Whole part of the number, cut toward zero; plain digits keep every digit.
+
+    Null beyond 64 bits: inference gives columns with such values the type ``wide``.
+    """
+    text = strip(value) if stripped is None else stripped
+    whole = _finite(text).try_cast("bigint")
     # No double equals the largest long: the cast has met 2^63, which does not fit.
-    return F.nullif(whole, F.lit((1 << 63) - 1))
+    return F.coalesce(_integer(text, "bigint"), F.nullif(whole, F.lit((1 << 63) - 1)))
 
 
-def coerce_wide_int(value: Column) -> Column:
+def coerce_wide_int(value: Column, stripped: Column | None = None) -> Column:
     """As :func:`coerce_int` for identifiers of up to 38 digits."""
-    text = strip(value)
+    text = strip(value) if stripped is None else stripped
     number = _finite(text)
     # From 2^53 on, a double has no fraction to cut.
     cut = F.when(F.abs(number) < float(1 << 53), number.try_cast("bigint").cast("decimal(38,0)")).otherwise(
@@ -104,7 +108,7 @@ def coerce_str(value: Column, stripped: Column | None = None) -> Column:
     return F.when(~_blank(text), strip(text) if stripped is None else stripped)
 
 
-_COERCERS = {"bool": coerce_bool, "int": coerce_int, "float": coerce_float, "str": coerce_str}
+_COERCERS = {"bool": coerce_bool, "int": coerce_int, "float": coerce_float, "str": coerce_str, "wide": coerce_wide_int}
 
 
 def coerce(value: Column, kind: str, stripped: Column | None = None) -> Column:

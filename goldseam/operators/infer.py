@@ -10,11 +10,16 @@ from pyspark.sql import functions as F
 from goldseam.functions.coerce import BOOLEAN_WORDS, coerce, parse_double, strip
 
 
-def _fold(texts: Column, whole: Column, boolean: Column) -> Column:
-    """Narrowest of bool, int, float that all values allow; text if there are none."""
+#: From here on a whole number may not fit in 64 bits, and up to 38 digits it fits in a wide one.
+LONG_LIMIT, WIDE_LIMIT = float(1 << 63), 1e38
+
+
+def _fold(texts: Column, whole: Column, boolean: Column, size: Column | None = None) -> Column:
+    """Narrowest of bool, int, wide (beyond 64 bits), float that all values allow; text if there are none."""
     number = F.bool_and(texts)
     return (
         F.when(F.bool_and(boolean), "bool")
+        .when(number & F.bool_and(whole) & (F.lit(False) if size is None else F.max(size) >= LONG_LIMIT), "wide")
         .when(number & F.bool_and(whole), "int")
         .when(number, "float")
         .otherwise("str")
@@ -37,8 +42,9 @@ def inspect_columns(df: DataFrame, sample_rows: int | None = None) -> DataFrame:
     whole = number.isNotNull() & (number % 1 == 0)  # not so for nan and the infinities
     inferred = _fold(
         F.when(present, number.isNotNull()),
-        F.when(present, whole),
+        F.when(present, whole & (F.abs(number) < WIDE_LIMIT)),
         F.when(present, F.lower(text).isin(*BOOLEAN_WORDS)),
+        F.abs(number),
     )
     found = parsed.groupBy("column_name").agg(
         inferred.alias("inferred_type"), F.avg((~present).cast("int")).alias("null_rate")
@@ -100,18 +106,18 @@ INT_SUFFIXES = ("duration_seconds", "duration_minutes")
 def policy_type(name: str, inferred: str) -> str:
     """Type of a column by its name, or the inferred one if no rule speaks.
 
-    Words are compared with whole parts of the name, so that ``discount`` is
-    not taken for a ``count``. ``score`` stays a float where it has fractions. A
+    Number words are compared with whole parts of the name, so that ``discount`` is
+    not taken for a ``count``; text words are looked for anywhere, as in ``zipcode``. ``score`` stays a float where it has fractions. A
     number rule corrects one number type to another; text such as the codes of a
     ``position`` is never forced into a number, which would reject its rows.
     """
-    lowered = name.lower()
+    lowered = re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "_", name).lower()
     words = set(re.split(r"[^a-z0-9]+", lowered))
     if words & set(DATE_WORDS) or lowered.endswith(DATE_SUFFIXES):
         return "str"
     if lowered.startswith(BOOLEAN_PREFIXES) or lowered.endswith(BOOLEAN_SUFFIXES):
         return "bool"
-    if lowered.endswith(TEXT_SUFFIXES) or words & set(TEXT_WORDS):
+    if lowered.endswith(TEXT_SUFFIXES) or any(word in lowered for word in TEXT_WORDS):
         return "str"
     if inferred == "str":
         return "str"

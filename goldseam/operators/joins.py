@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import operator
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,24 +12,18 @@ from goldseam.session import scratch_path
 
 # A key with more rows than this is spread over several tasks.
 ROWS_PER_SPLIT = 2_000_000
-# Only this many of the largest keys are spread. Any other key is below
-# ROWS_PER_SPLIT or below 1/HOT_KEYS_MAX of all rows, so no task gets stuck on it.
-HOT_KEYS_MAX = 1000
 
 
-def hot_keys(df: DataFrame, keys: list[str], rows_per_split: int = ROWS_PER_SPLIT) -> list:
-    """The keys with too many rows for one task, at most HOT_KEYS_MAX of them.
+def hot_keys(df: DataFrame, keys: list[str], rows_per_split: int = ROWS_PER_SPLIT) -> DataFrame:
+    """All keys with too many rows for one task, null ones too, and the splits each needs.
 
-    Tasks count before the shuffle and only the largest counts come back.
+    Tasks count before the shuffle. There are fewer such keys than rows / rows_per_split.
     """
     return (
         df.groupBy(*keys)
         .agg(F.count("*").alias("_n"))
         .filter(F.col("_n") > rows_per_split)
-        .orderBy(F.desc("_n"))
-        .limit(HOT_KEYS_MAX)
         .select(*keys, F.ceil(F.col("_n") / rows_per_split).cast("int").alias("_splits"))
-        .collect()
     )
 
 
@@ -39,22 +36,23 @@ def skew_join(
 ) -> DataFrame:
     """Inner or left equi-join where single keys of ``left`` may be huge.
 
-    ``right`` should be unique per key, or nearly. Without huge keys this is a
-    plain join. Else rows of a hot key get a split number, and the matching rows
-    of ``right`` are copied once per split. The table of hot keys has no more
-    than HOT_KEYS_MAX rows, so it can be broadcast.
+    ``right`` should be unique per key, or nearly. Rows of a huge key get a split
+    number from their values, so a task that runs again deals them out alike, and
+    the matching rows of ``right`` are copied once per split. (AQE cannot split this
+    join itself where ``right`` is an aggregate by the same keys.)
     """
-    found = hot_keys(left, keys, rows_per_split)
-    if not found:
-        return left.join(right, keys, how)
-    schema = left.select(*keys).schema.add("_splits", "integer")
-    hot = F.broadcast(left.sparkSession.createDataFrame(found, schema))
+    hot = hot_keys(left, keys, rows_per_split)
+    named = hot.toDF(*[f"_hot{i}" for i in range(len(keys))], "_splits")
     splits = F.coalesce("_splits", F.lit(1))
-    # Rows of one task are dealt out in turn, so equal rows spread as well.
-    spread = left.join(hot, keys, "left").select(
-        *left.columns, F.pmod(F.monotonically_increasing_id(), splits).cast("int").alias("_split")
+
+    def with_splits(df: DataFrame) -> DataFrame:
+        same = [F.col(f"`{k}`").eqNullSafe(F.col(f"_hot{i}")) for i, k in enumerate(keys)]
+        return df.join(named, reduce(operator.and_, same), "left")
+
+    spread = with_splits(left).select(
+        *left.columns, F.pmod(F.xxhash64(*left.columns), splits).cast("int").alias("_split")
     )
-    copied = right.join(hot, keys, "left").select(
+    copied = with_splits(right).select(
         *right.columns, F.explode(F.sequence(F.lit(0), splits - 1)).alias("_split")
     )
     return spread.join(copied, [*keys, "_split"], how).drop("_split")
@@ -106,30 +104,14 @@ def running_number(df: DataFrame, order: list[str], name: str, blocks: int | Non
     )
 
 
-def largest_group(df: DataFrame, key: str) -> int:
-    """Rows of the most frequent key; reads the key column only."""
-    return df.groupBy(key).agg(F.count("*").alias("_n")).agg(F.max("_n")).first()[0] or 0
-
-
 def preceding_context(
-    df: DataFrame,
-    key: str,
-    order: str,
-    line: Column,
-    depth: int,
-    name: str,
-    rows_per_task: int = ROWS_PER_SPLIT,
+    df: DataFrame, key: str, order: str, line: Column, depth: int, name: str, blocks: int | None = None
 ) -> DataFrame:
-    """Add the ``depth`` lines before each row of its ``key``, joined with newlines.
+    """Add the ``depth`` lines before each row of its ``key``, joined with newlines; null is a key like others.
 
-    A window per key does this as long as every key fits in a task. Beyond
-    ``rows_per_task`` the table is cut into ranges instead.
+    The table is cut into sorted ranges, so that no key, however large, is one task.
     """
-    rows = df.withColumn("_line", line)
-    if largest_group(df, key) > rows_per_task:
-        return _context_by_range(rows, key, order, depth, name).select(*df.columns, name)
-    window = Window.partitionBy(key).orderBy(order).rowsBetween(-depth, -1)
-    return rows.withColumn(name, F.array_join(F.collect_list("_line").over(window), "\n")).select(*df.columns, name)
+    return _context_by_range(df.withColumn("_line", line), key, order, depth, name, blocks).select(*df.columns, name)
 
 
 def _context_by_range(
@@ -159,7 +141,10 @@ def _context_by_range(
     carried = (
         tails.select("*", steps)
         .withColumn("_nth", F.col("_nth") + F.col("_step"))
-        .join(F.broadcast(edges.select("_first", "_nth", "_block")), ["_first", "_nth"])
+        .join(
+            F.broadcast(edges.select(F.col("_first").alias("_head"), F.col("_nth").alias("_at"), "_block")),
+            F.col("_first").eqNullSafe(F.col("_head")) & (F.col("_nth") == F.col("_at")),
+        )
         .select(F.col("_first").alias(key), "_block", "_pos", "_line", (-F.col("_step")).alias("_step"))
     )
     both = ranged.withColumn("_step", F.lit(0)).unionByName(carried, allowMissingColumns=True)

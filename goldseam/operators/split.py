@@ -12,6 +12,7 @@ from goldseam.functions.text import payload_json
 COERCION_REASON = "null_or_coercion_failure"
 REASON = "_rejection_reason"
 DETAIL = "_rejection_detail"
+# What is kept of detail and id under ``parity``.
 DETAIL_LENGTH = 2000
 ID_LENGTH = 16
 
@@ -42,15 +43,20 @@ def dead_rows(flagged: DataFrame) -> DataFrame:
     return flagged.filter(F.col(REASON).isNotNull())
 
 
-def dead_letters(dead: DataFrame, source: str, batch_id: str, ingested_at: Column) -> DataFrame:
-    """Rejected rows in dead-letter shape; columns that start with ``_`` stay out of the payload."""
-    detail = F.col(DETAIL) if DETAIL in dead.columns else F.lit("")
+def dead_letters(
+    dead: DataFrame, source: str, batch_id: str, ingested_at: Column, parity: bool = False
+) -> DataFrame:
+    """Rejected rows in dead-letter shape; columns that start with ``_`` stay out of the payload.
+
+    Id and detail are whole; ``parity`` cuts them to 16 and 2,000 characters, as the reference does.
+    """
+    detail = F.coalesce(F.col(DETAIL), F.lit("")) if DETAIL in dead.columns else F.lit("")
     return dead.select(
-        F.left(F.uuid(), F.lit(ID_LENGTH)).alias("_dl_id"),
+        (F.left(F.uuid(), F.lit(ID_LENGTH)) if parity else F.uuid()).alias("_dl_id"),
         ingested_at.alias("_ingested_at"),
         F.lit(batch_id).alias("_batch_id"),
         F.lit(source).alias("_source"),
         F.coalesce(F.col(REASON), F.lit("unknown")).alias("_error_type"),
-        F.left(F.coalesce(detail, F.lit("")), F.lit(DETAIL_LENGTH)).alias("_error_detail"),
+        (F.left(detail, F.lit(DETAIL_LENGTH)) if parity else detail).alias("_error_detail"),
         F.parse_json(payload_json(dead.columns)).alias("_raw_payload"),
     )

@@ -18,13 +18,20 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
 }
 
+# On a cluster shuffles begin with many partitions and AQE merges them up to the advisory size.
+CLUSTER = {
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "20000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+}
+
 
 def build_session(app_name: str = "goldseam", master: str | None = None, **extra: str) -> SparkSession:
     """Start (or get) a session; keys in ``extra`` override the defaults."""
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    for key, value in {**SETTINGS, **extra}.items():
+    cluster = {} if (master or "").startswith("local") else CLUSTER
+    for key, value in {**SETTINGS, **cluster, **extra}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 

@@ -106,8 +106,15 @@ class Lake:
             return []
         names = {f: column_name(f.name) if layer == "bronze" else f.name for f in schema.fields}
         added = [f for f, name in names.items() if name.upper() not in existing]
-        if added and policy == "halt":
-            raise SchemaDriftError(f"{table}: new columns {[f.name for f in added]}")
+        if policy == "halt":
+            stored = {f.name.upper(): f.dataType for f in self.read(table, layer).schema.fields}
+            here = {name.upper() for name in names.values()}
+            removed = [c for c in stored if c not in here and not c.startswith("_")]
+            retyped = [f.name for f, name in names.items() if stored.get(name.upper(), f.dataType) != f.dataType]
+            if added or removed or retyped:
+                raise SchemaDriftError(
+                    f"{table}: new columns {[f.name for f in added]}, removed {removed}, retyped {retyped}"
+                )
         if added:
             columns = ", ".join(f"`{names[f]}` {f.dataType.simpleString()}" for f in added)
             self.spark.sql(f"ALTER TABLE {self.name(table, layer)} ADD COLUMNS ({columns})")
@@ -116,6 +123,8 @@ class Lake:
     def _aligned(self, df: DataFrame, table: str, layer: str, extra: tuple[Column, ...] = ()) -> DataFrame:
         """Columns in table order and type; one that the rows lack is null."""
         have = {column_name(c): c for c in df.columns}
+        if len(have) < len(df.columns):
+            raise SchemaDriftError(f"{table}: columns {df.columns} share a table name")
 
         def field(f: T.StructField) -> Column:
             source = have.get(column_name(f.name))
@@ -210,10 +219,11 @@ class Lake:
         return sum(fs.delete(path, True) for path in old)
 
     def materialise(self, df: DataFrame, table: str, layer: str, kind: str = "table") -> DataFrame:
-        """Publish a model in its layer, as a table or, for staging models, as a view."""
-        if kind == "view":
-            df.createOrReplaceTempView(table)
-            return self.spark.table(table)
+        """Publish a model in its layer.
+
+        A frame cannot become a persistent view, and a session's view knows neither layer
+        nor prefix, so ``kind="view"`` gives a table as well.
+        """
         if not self.exists(table, layer):
             self.ensure(table, df.schema, audit=False, layer=layer, raw=False)
         else:

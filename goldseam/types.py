@@ -15,6 +15,7 @@ SPARK_TYPES = {
     "int": T.LongType(),
     "float": T.DoubleType(),
     "bool": T.BooleanType(),
+    "wide": T.DecimalType(38, 0),
 }
 
 # Contract types. A time of day is kept as ``HH:mm:ss`` text.

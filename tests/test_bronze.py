@@ -45,7 +45,7 @@ def test_csv_load(spark, lake, tmp_path):
     assert table.columns[-3:] == ["_ingested_at", "_source_name", "_pipeline_run_id"]
     assert table.count() == 40 and table.select("_pipeline_run_id").distinct().count() == 1
     letter = lake.read("DEAD_LETTER").withColumn("_raw_payload", F.to_json("_raw_payload")).first()
-    assert (letter._source, letter._error_type, len(letter._dl_id)) == ("historical_results", "null_or_coercion_failure", 16)
+    assert (letter._source, letter._error_type, len(letter._dl_id)) == ("historical_results", "null_or_coercion_failure", 36)
     payload = json.loads(letter._raw_payload)
     assert payload["away_team"] is None and payload["home_score"] == 1 and "_source_name" not in payload
     assert lake.watermark("historical_results") is not None
@@ -152,6 +152,10 @@ def test_schema_drift(spark, lake):
     new = T.StructType.fromDDL("id bigint, name string, `home-town` string")
     with pytest.raises(SchemaDriftError):
         lake.apply_drift("RAW_T", new, "halt")
+    for changed in ("id bigint", "id string, name string"):
+        with pytest.raises(SchemaDriftError):
+            lake.apply_drift("RAW_T", T.StructType.fromDDL(changed), "halt")
+    lake.apply_drift("RAW_T", T.StructType.fromDDL("id bigint, name string"), "halt")
     assert lake.apply_drift("RAW_T", new) == ["HOME_TOWN"]
     assert lake.apply_drift("RAW_T", new) == []
     assert lake.apply_drift("RAW_ABSENT", new) == []

@@ -33,9 +33,13 @@ def expect(text, kind):
     number = python_float(text)
     if kind == "float" or number is None:
         return number
-    if math.isnan(number) or math.isinf(number) or abs(number) >= 2**63:
-        return None  # not a 64-bit number
-    return int(number)
+    if math.isnan(number) or math.isinf(number):
+        return None
+    try:
+        exact = int(text.strip())  # plain digits keep every digit
+    except ValueError:
+        exact = int(number)
+    return exact if -(2**63) <= exact < 2**63 else None  # a wider column takes the rest
 
 
 def same(a, b):
@@ -110,3 +114,12 @@ def test_strict_casts(spark):
 def test_calendar_years_counts_year_numbers(spark):
     df = spark.sql("select date'1999-12-31' as born, date'2000-01-01' as at")
     assert df.select(calendar_years(F.col("born"), F.col("at"))).first()[0] == 1
+
+
+def test_whole_numbers_keep_their_digits(spark):
+    values = ["9007199254740993", "9223372036854775807", "9223372036854775808", "98765432109876543210"]
+    df = spark.createDataFrame([(v,) for v in values], "t string")
+    narrow = [r[0] for r in df.select(C.coerce_int(F.col("t"))).collect()]
+    wide = [int(r[0]) for r in df.select(C.coerce_wide_int(F.col("t"))).collect()]
+    assert narrow == [int(values[0]), int(values[1]), None, None]
+    assert wide == [int(v) for v in values]

@@ -28,7 +28,7 @@ def test_skew_join_of_equal_rows(spark):
 
 def test_hot_keys_lists_only_large_ones(spark):
     df = spark.createDataFrame(skewed(), "k string, v int")
-    hot = joins.hot_keys(df, ["k"], rows_per_split=50)
+    hot = joins.hot_keys(df, ["k"], rows_per_split=50).collect()
     assert [r.k for r in hot] == ["hot"] and hot[0]["_splits"] >= 6
 
 
@@ -64,8 +64,21 @@ def test_context_in_ranges_equals_one_window(spark):
     for blocks in (3, 40, 200):
         ranged = joins._context_by_range(df.withColumn("_line", F.col("text")), "k", "turn", 3, "context", blocks)
         assert {(r.k, r.turn): r.context for r in ranged.collect()} == expected
-    chosen = joins.preceding_context(df, "k", "turn", F.col("text"), 3, "context", rows_per_task=100)
-    assert {(r.k, r.turn): r.context for r in chosen.collect()} == expected
+
+
+def test_context_of_a_null_key(spark):
+    data = [(None, i, f"n{i}") for i in range(60)] + [("a", i, f"a{i}") for i in range(5)]
+    df = spark.createDataFrame(data, "k string, turn int, text string").repartition(4)
+    got = joins.preceding_context(df, "k", "turn", F.col("text"), 3, "context", 6).collect()
+    wrong = [r for r in got if r.context != "\n".join(r.text[0] + str(t) for t in range(max(0, r.turn - 3), r.turn))]
+    assert len(got) == 65 and not wrong
+
+
+def test_skew_join_keeps_null_keys_of_the_left_side(spark):
+    left = spark.createDataFrame([(None, i) for i in range(300)] + [("a", 1)], "k string, v int")
+    right = spark.createDataFrame([("a", 2), (None, 3)], "k string, w int")
+    got = joins.skew_join(left, right, ["k"], "left", rows_per_split=50)
+    assert got.count() == 301 and got.filter("w is not null").count() == 1
 
 
 def test_orphans_are_counted_per_key(spark, rows):

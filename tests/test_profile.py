@@ -49,7 +49,7 @@ def test_json_inference(spark):
 @pytest.mark.parametrize(
     "name, inferred, expected",
     [
-        ("match_num", "int", "str"), ("order_id", "int", "str"), ("zip", "int", "str"), ("status_code", "int", "str"),
+        ("match_num", "int", "str"), ("order_id", "int", "str"), ("zip", "int", "str"), ("zipcode", "int", "str"), ("customerId", "int", "str"), ("status_code", "int", "str"),
         ("created_at", "int", "str"), ("match_date", "int", "str"), ("is_open", "int", "bool"), ("sold_flag", "int", "bool"),
         ("unit_price", "int", "float"), ("goals", "float", "int"), ("home_score", "bool", "int"),
         ("home_score", "float", "float"), ("discount", "float", "float"), ("duration_seconds", "float", "int"),
@@ -172,3 +172,13 @@ def test_type_maps():
     ]
     schema = inferred_schema({"a": "int", "b": "str"}, {"b"})
     assert [(f.dataType, f.nullable) for f in schema.fields] == [(T.LongType(), False), (T.StringType(), True)]
+
+
+def test_numbers_beyond_64_bits_are_wide_and_kept(spark):
+    values = ["1", "98765432109876543210"]
+    df = spark.createDataFrame([(v, "7") for v in values], "big string, small string")
+    types = {r.column_name: r.inferred_type for r in infer.infer_types(df).collect()}
+    assert types == {"big": "wide", "small": "int"}
+    got = infer.retype(df, types)
+    assert got.schema["big"].dataType.simpleString() == "decimal(38,0)"
+    assert sorted(int(r.big) for r in got.collect()) == [int(v) for v in values]
