@@ -117,11 +117,12 @@ def calibrated_bound(scored: DataFrame) -> float:
     good, bad = sum(r[1] for r in rows), sum(r[2] for r in rows)
     if not good or not bad:
         return 0.0
-    best, lost, passed = (1.0, abs(rows[0][0]), rows[0][0]), 0, bad
+    # A bound anywhere between two bins parts them alike: the middle is taken.
+    best, lost, passed, last = (2.0, 0.0), 0, bad, rows[0][0] - 1
     for number, more_good, more_bad in rows:
-        best = min(best, (lost / good + passed / bad, abs(number), number))
-        lost, passed = lost + more_good, passed - more_bad
-    return best[2] / BINS
+        best = min(best, (lost / good + passed / bad, (last + 1 + number) / 2))
+        lost, passed, last = lost + more_good, passed - more_bad, number
+    return best[1] / BINS
 
 
 def judge_urls(pages: DataFrame, key: str = "page_id", url: str = "url", rules: tuple[Rule, ...] = RULES) -> DataFrame:
