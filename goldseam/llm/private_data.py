@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from goldseam.llm.common import whole
+from goldseam.llm.common import uniform, whole
 
 KINDS = ("email", "ip", "card", "phone")
 #: The field is fitted on the sample's documents with the least hashes, so many at most, up to so many nodes each.
@@ -279,10 +279,19 @@ def _scan(field: SkipChainField):
     return run
 
 
-def sample_texts(docs: DataFrame, text: str = "text", most: int = SAMPLE_DOCS, size: int = 20_000) -> list[str]:
-    """The texts with a digit or "@" whose hashes are least; of each its first ``size`` characters. For fitting only."""
-    rows = docs.select(F.substring(whole(F.col(text)), 1, size).alias("text")).filter(F.regexp_like("text", F.lit("[0-9@]")))
-    return [r["text"] for r in rows.orderBy(F.xxhash64("text"), "text").limit(most).collect()]
+def sample_texts(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", most: int = SAMPLE_DOCS, size: int = 20_000
+) -> list[str]:
+    """The texts with a digit or "@" whose hashes are least; of each its first ``size`` characters. For fitting only.
+
+    Their number is counted first and a share of them taken by hash, so that little
+    more than the sample leaves the tasks.
+    """
+    rows = docs.select(
+        uniform(F.col(key), F.col(text)).alias("lot"), F.substring(whole(F.col(text)), 1, size).alias("text")
+    ).filter(F.regexp_like("text", F.lit("[0-9@]")))
+    share = min(1.0, 1.5 * most / max(1, rows.count()))
+    return [r["text"] for r in rows.filter(F.col("lot") <= share).orderBy("lot", "text").limit(most).collect()]
 
 
 def find_private_data(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -293,7 +302,7 @@ def find_private_data(docs: DataFrame, key: str = "doc_id", text: str = "text")
     out. Other columns are not read.
     """
     kind = docs.schema[key].dataType.simpleString()
-    field = fit_field(sample_texts(docs, text))
+    field = fit_field(sample_texts(docs, key, text))
     counts = ", ".join(f"n_{k} long" for k in KINDS)
     return (
         docs.select(F.col(key).alias("key"), whole(F.col(text)).alias("text"))
