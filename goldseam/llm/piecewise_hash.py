@@ -52,7 +52,8 @@ def _signature(data: bytes, rolled: np.ndarray, block: int) -> str:
 
 def fingerprint(text: str) -> str:
     """block:signature:signature. The block is the smallest of 3, 6, 12, ... whose 64 chunks hold the text, doubled
-    while the signature has over 128 characters (as that of a periodic text may), or halved while it has under 32. An empty text has "3::"."""
+    while the signature has over 128 characters (as that of a periodic text may), or halved while
+    it has under 32 and stays within 128. An empty text has "3::"."""
     data = text.encode("utf-8", "surrogatepass")
     if not data:
         return f"{SMALLEST}::"
@@ -64,8 +65,10 @@ def fingerprint(text: str) -> str:
         block *= 2
         signature = _signature(data, rolled, block)
     while len(signature) < LENGTH // 2 and block > SMALLEST:
-        block, coarse = block // 2, signature
-        signature = _signature(data, rolled, block)
+        finer = _signature(data, rolled, block // 2)
+        if len(finer) > 2 * LENGTH:
+            break
+        block, coarse, signature = block // 2, signature, finer
     return f"{block}:{signature}:{coarse if coarse is not None else _signature(data, rolled, 2 * block)}"
 
 
