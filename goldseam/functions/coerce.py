@@ -128,6 +128,13 @@ def strict_int(value: Column, source_kind: str = "str") -> Column:
     return _integer(strip(value), "bigint")
 
 
+def strict_wide_int(value: Column, source_kind: str = "str") -> Column:
+    """As :func:`strict_int` for identifiers of up to 38 digits."""
+    if source_kind != "str":
+        return coerce_wide_int(value)
+    return _integer(strip(value), "decimal(38,0)")
+
+
 def strict_float(value: Column, source_kind: str = "str") -> Column:
     return parse_double(strip(value)) if source_kind == "str" else value.cast("double")
 
@@ -137,7 +144,7 @@ def strict_str(value: Column, source_kind: str = "str") -> Column:
     return value.cast("string")
 
 
-_STRICT = {"bool": strict_bool, "int": strict_int, "float": strict_float, "str": strict_str}
+_STRICT = {"bool": strict_bool, "int": strict_int, "wide": strict_wide_int, "float": strict_float, "str": strict_str}
 
 
 def coerce_strict(value: Column, kind: str, source_kind: str = "str") -> Column:

@@ -91,6 +91,62 @@ def src_csv_typed(spark, sf_dir):
     return read_csv_typed(spark, path, types)
 
 
+def src_csv_folder(spark, sf_dir):
+    """Events in one folder of CSV files: two orders of columns, one column only some have, and values with line breaks."""
+    path = scratch_path(spark, "csv")
+    events = adapt.table(spark, sf_dir, "events").select(
+        F.col("event_id").cast("string").alias("event_id"),
+        F.col("user_id").cast("string").alias("user_id"),
+        F.col("value").cast("string").alias("value"),
+        "event_type",
+        "props",
+    )
+    form = F.col("event_id").cast("bigint") % 3
+    lines = F.concat(F.col("event_type"), F.lit("\n"), F.col("user_id")).alias("event_type")
+    for part in (
+        events.filter(form == 0),
+        events.filter(form == 1).select("props", "event_type", "value", "event_id", "user_id"),
+        events.filter(form == 2).select(lines, "event_id", "props", "value"),
+    ):
+        part.write.mode("append").csv(path, header=True, quote='"', escape='"')
+    types = {"event_id": "int", "user_id": "int", "value": "float", "event_type": "str", "props": "str"}
+    return read_csv_typed(spark, path, types)
+
+
+def wide_integers(spark, sf_dir):
+    """Whole numbers at and beyond the bounds of doubles and of 64 bits, each with the event's own digits."""
+    events = adapt.table(spark, sf_dir, "events")
+    heads = F.array(*[F.lit(h) for h in ("", "-", "900719925474", "922337203685477", "98765432109876", " +1_0")])
+    raw = F.concat(F.get(heads, (F.col("event_id") % 6).cast("int")), F.lpad(F.col("event_id").cast("string"), 12, "7"))
+    return events.select("event_id", coerce.coerce_wide_int(raw).alias("as_wide"))
+
+
+def dead_letter_sink(spark, sf_dir):
+    """Events with gaps are rejected into the dead-letter table; the load runs twice and leaves them there once."""
+    events = adapt.table(spark, sf_dir, "events").withColumns(
+        {
+            "value": F.when(F.col("user_id") % 7 != 0, F.col("value")),
+            "ts": F.when(F.col("event_id") % 50 != 0, F.col("ts")),
+        }
+    )
+    lake = _events_lake(spark, events)
+    at = F.lit("2026-06-11 00:00:00").cast("timestamp_ntz")
+    for _ in range(2):
+        *_, folder, dead = lake.reload_split(flag_rows(events), "RAW_EVENTS")
+        lake.append_dead_letters(dead, "events", "run-1", at, required=events.columns)
+        lake.point("RAW_EVENTS", folder)
+    letters = lake.read("DEAD_LETTER").select(
+        F.col("_source").alias("source"),
+        F.col("_batch_id").alias("batch"),
+        F.col("_error_type").alias("error_type"),
+        F.col("_error_detail").alias("error_detail"),
+        F.variant_get("_raw_payload", "$.event_id", "long").alias("event_id"),
+        F.variant_get("_raw_payload", "$.event_type", "string").alias("event_type"),
+    )
+    kept = lake.read("RAW_EVENTS").select(F.col("EVENT_ID").alias("event_id"), F.col("EVENT_TYPE").alias("event_type"))
+    return letters.unionByName(kept, allowMissingColumns=True)
+
+
 def documents(events: DataFrame) -> DataFrame:
     """One match document per event: two matches, some without score or goals."""
     k = F.get_json_object("props", "$.k").cast("int")
@@ -216,6 +272,9 @@ QUERIES = {
     "coerce_strict": coerce_strict,
     "lenient_time": clock,
     "src_csv_typed": src_csv_typed,
+    "src_csv_folder": src_csv_folder,
+    "coerce_wide_int": wide_integers,
+    "dead_letter_sink": dead_letter_sink,
     "src_json_nested": src_json_nested,
     "infer_json": infer_json,
     "incremental_load": incremental_load,
@@ -271,6 +330,18 @@ ORACLE = {
     "src_csv_typed": """select event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') as ts, value, event_type = 'click' as is_click,
                         props, event_type || ',' || chr(10) || '"' || json_extract_string(props, '$.k') || '"' as note
                         from events""",
+    "src_csv_folder": """select event_id, case when event_id % 3 <> 2 then user_id end as user_id, value,
+                         case when event_id % 3 = 2 then event_type || chr(10) || user_id else event_type end as event_type,
+                         props from events""",
+    "coerce_wide_int": """select event_id, cast(trim(['', '-', '900719925474', '922337203685477', '98765432109876', '10'][
+                            cast(event_id % 6 as int) + 1] || lpad(cast(event_id as varchar), 12, '7')) as decimal(38,0))
+                          as as_wide from events""",
+    "dead_letter_sink": """
+        select 'events' as source, 'run-1' as batch, 'null_or_coercion_failure' as error_type,
+          concat_ws(',', case when event_id % 50 = 0 then 'ts' end, case when user_id % 7 = 0 then 'value' end)
+            as error_detail, event_id, event_type
+        from events where event_id % 50 = 0 or user_id % 7 = 0 union all
+        select null, null, null, null, event_id, event_type from events where event_id % 50 <> 0 and user_id % 7 <> 0""",
     "src_json_nested": with_inputs(
         """select cast(match_num as bigint) as match_num, strftime(ts, '%Y-%m-%d') as match_date,
              team1 as team1_name, team2 as team2_name, scoring_team, count(*) as n_matches,

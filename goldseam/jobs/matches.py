@@ -136,7 +136,7 @@ def sink_append_audit(spark, sf_dir):
 
 def row_ids(spark, sf_dir):
     """SHA-256 identifiers of raw rows."""
-    rows = adapt.table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
+    rows = adapt.table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey", "s_acctbal")
     return rows.select("s_suppkey", row_hash(rows.columns).alias("row_id"))
 
 
@@ -219,7 +219,7 @@ ORACLE = {
         _RELOADED.format(run="case when neutral then 'run-1' else 'run-2' end"), MATCHES
     ),
     "row_hash": """select s_suppkey, sha256(to_json({'s_suppkey': s_suppkey, 's_name': s_name,
-                   's_nationkey': s_nationkey})::varchar) as row_id from supplier""",
+                   's_nationkey': s_nationkey, 's_acctbal': s_acctbal})::varchar) as row_id from supplier""",
     "mart_goal_analytics": with_inputs("select * from analytics", *GOAL_CHAIN),
     "minute_bucket": with_inputs(
         "select minute_bucket, count(*) as n_goals from bucketed group by minute_bucket", GOALS, BUCKETS

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from goldseam.jobs.inputs import AS_OF, PLAYERS, SQUAD_CHAIN, with_inputs
-from goldseam.operators.profile import nullable_columns, numeric_kinds, profile_columns
+from goldseam.operators.profile import null_rates, nullable_columns
 from goldseam.operators.split import REASON, dead_letters, dead_rows, flag_null_key, flag_rows, valid_rows
 from goldseam.plans import adapt, ask, gold
 from goldseam.plans.silver import LOADED_AT, stage
@@ -61,7 +61,7 @@ def sparse_players(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def nullable(spark, sf_dir):
     players = sparse_players(spark, sf_dir)
-    return nullable_columns(profile_columns(players, numeric_kinds(players.schema)))
+    return nullable_columns(null_rates(players))
 
 
 def split_valid(spark, sf_dir):

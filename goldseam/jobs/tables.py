@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from goldseam.operators.governance import dictionary_entries, replace_models, schema_difference, tag_pii_columns
-from goldseam.operators.infer import apply_type_policy, infer_types, retype, schema_map
+from goldseam.operators.infer import infer_types, policy_types, retype
 from goldseam.operators.joins import orphan_keys
 from goldseam.operators.profile import (
     categorical_catalog,
@@ -71,6 +71,7 @@ DECLARATIONS = {
     "o_custkey": "integer",
     "o_orderstatus": "CHAR(1)",
     "o_totalprice": "DECIMAL(15,2)",
+    "o_orderdate": "TIMESTAMP",
     "o_orderpriority": "VARCHAR(20)",
 }
 
@@ -93,9 +94,12 @@ def type_policy(spark, sf_dir):
             F.when(F.col("l_returnflag") == "R", 1).otherwise(0).alias("is_returned"),
             F.col("l_linestatus").alias("line_status"),
             F.col("l_suppkey").alias("supplier"),
+            F.col("l_partkey").alias("part"),
+            F.col("l_tax").alias("tax"),
+            F.col("l_returnflag").alias("return_mark"),
         )
     )
-    return retype(text, apply_type_policy(schema_map(infer_types(text))))
+    return retype(text, policy_types(text))
 
 
 def pii_columns(spark, sf_dir):
@@ -105,6 +109,8 @@ def pii_columns(spark, sf_dir):
         F.concat(F.lit("+1 "), F.col("c_custkey").cast("string")).alias("phone"),
         F.when(F.col("c_custkey") % 3 != 0, F.lit("unknown")).alias("home_address"),
         F.col("c_mktsegment").alias("tournament"),
+        F.col("c_nationkey").alias("nation"),
+        F.col("c_acctbal").alias("balance"),
     )
     return tag_pii_columns(people)
 
@@ -249,10 +255,10 @@ def schema_drift(spark, sf_dir):
     path = scratch_path(spark, "lake")
     lake = Lake(spark, path, prefix=path.rsplit("-", 1)[1][:8] + "_")
     customers = adapt.table(spark, sf_dir, "customer")
-    first = customers.filter("c_custkey % 2 = 0").select("c_custkey", "c_name")
+    first = customers.filter("c_custkey % 2 = 0").drop("c_mktsegment")
     lake.ensure("RAW_CUSTOMER", first.schema, audit=False)
     lake.append(first, "RAW_CUSTOMER")
-    second = customers.filter("c_custkey % 2 = 1").select("c_custkey", "c_name", F.col("c_mktsegment").alias("market-segment"))
+    second = customers.filter("c_custkey % 2 = 1").withColumnRenamed("c_mktsegment", "market-segment")
     lake.apply_drift("RAW_CUSTOMER", second.schema)
     lake.append(second, "RAW_CUSTOMER")
     return lake.read("RAW_CUSTOMER")
@@ -284,7 +290,7 @@ def data_dictionary(spark, sf_dir):
         return dictionary_entries(suggest_tests(table_profile(spark, sf_dir, name)), f"stg_{name}", f"RAW_{name.upper()}")
 
     stale = entries("customer").withColumn("description", F.lit("old"))
-    merged = replace_models(stale.unionByName(entries("supplier")), entries("customer"))
+    merged = replace_models(stale.unionByName(entries("supplier")), entries("customer"), ["stg_customer"])
     return merged.withColumn("tests", F.array_join("tests", ","))
 
 
@@ -397,18 +403,22 @@ ORACLE = {
         [_kind_sql("lineitem", c, k != "str") for c, k in _LINE_COLUMNS.items()]
         + [_kind_sql("orders", c, k != "str") for c, k in _ORDER_COLUMNS.items()]
     ),
-    "infer_declared": "select o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority from orders",
+    "infer_declared": """select o_orderkey, o_custkey, o_orderstatus, o_totalprice, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') as o_orderdate,
+        o_orderpriority from orders""",
     "type_policy": """select cast(l_orderkey as varchar) as order_id, cast(l_linenumber as varchar) as line_num,
         cast(l_quantity as bigint) as quantity, l_extendedprice as extended_price, l_discount as discount,
         strftime(l_shipdate, '%Y-%m-%d') as ship_date, l_returnflag = 'R' as is_returned,
-        l_linestatus as line_status, l_suppkey as supplier from lineitem""",
+        l_linestatus as line_status, l_suppkey as supplier, l_partkey as part, l_tax as tax, l_returnflag as return_mark
+        from lineitem""",
     "pii_columns": """
         select 'customer_id' as column_name, false as pii, count(*) as non_null, count(distinct c_custkey) as distinct_values
         from customer union all
         select 'customer_name', true, count(c_name), count(distinct c_name) from customer union all
         select 'phone', true, count(*), count(distinct c_custkey) from customer union all
         select 'home_address', true, count(*) filter (where c_custkey % 3 <> 0), 1 from customer union all
-        select 'tournament', false, count(c_mktsegment), count(distinct c_mktsegment) from customer""",
+        select 'tournament', false, count(c_mktsegment), count(distinct c_mktsegment) from customer union all
+        select 'nation', false, count(c_nationkey), count(distinct c_nationkey) from customer union all
+        select 'balance', false, count(c_acctbal), count(distinct c_acctbal) from customer""",
     "categorical_catalog": " union all ".join(
         [
             _catalog_sql(t, c)
@@ -489,7 +499,7 @@ ORACLE = {
           case when c_custkey % 9 = 0 then timestamp '2026-06-12' when c_custkey % 3 = 0 then timestamp '2026-06-11'
                else timestamp '2026-06-10' end as updated_at
         from customer where c_custkey % 2 = 0 or c_custkey % 3 = 0""",
-    "schema_drift": """select c_custkey as C_CUSTKEY, c_name as C_NAME,
+    "schema_drift": """select c_custkey as C_CUSTKEY, c_name as C_NAME, c_nationkey as C_NATIONKEY, c_acctbal as C_ACCTBAL,
         case when c_custkey % 2 = 1 then c_mktsegment end as MARKET_SEGMENT from customer""",
     "schema_diff": """
         select 'C_ACCTBAL' as column_name, 'removed' as change, 'double' as old_type, cast(null as varchar) as new_type,

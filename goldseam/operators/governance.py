@@ -78,10 +78,9 @@ def dictionary_entries(suggested: DataFrame, model: str, table: str, parity: boo
     )
 
 
-def replace_models(dictionary: DataFrame, entries: DataFrame) -> DataFrame:
-    """The dictionary with all entries of the given models replaced, new models added."""
-    kept = dictionary.join(entries.select("model").distinct(), "model", "left_anti")
-    return kept.unionByName(entries)
+def replace_models(dictionary: DataFrame, entries: DataFrame, models: list[str]) -> DataFrame:
+    """The dictionary with all entries of ``models`` replaced by those of ``entries``, new models added."""
+    return dictionary.filter(~F.col("model").isin(*models)).unionByName(entries)
 
 
 def schema_frame(df: DataFrame, types: T.StructType) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,24 +27,27 @@ def _fold(texts: Column, whole: Column, boolean: Column, size: Column | None = N
     )
 
 
-def inspect_columns(df: DataFrame, sample_rows: int | None = None) -> DataFrame:
+def inspect_columns(
+    df: DataFrame, sample_rows: int | None = None, decided: Iterable[str] = ()
+) -> DataFrame:
     """``(column_name, inferred_type, null_rate)`` of text columns.
 
     One scan and one row per column and task shuffled. All rows are looked at;
-    ``sample_rows`` looks at the first ones of a file only.
+    ``sample_rows`` looks at the first ones of a file only. Values of ``decided`` columns
+    are not parsed: their type is given as text, for a naming rule to replace.
     """
     rows = df if sample_rows is None else df.limit(sample_rows)
     texts = rows.select(*[F.nullif(strip(F.col(f"`{c}`")), F.lit("")).alias(c) for c in df.columns])
     # One long column keeps the compiled code small however wide the table is.
     long = texts.unpivot([], [f"`{c}`" for c in df.columns], "column_name", "text")
-    parsed = long.withColumn("number", parse_double(F.col("text")))
+    parsed = long.withColumn("number", F.when(~F.col("column_name").isin(*decided), parse_double(F.col("text"))))
     text, number = F.col("text"), F.col("number")
     present = text.isNotNull()  # a blank or null value says nothing about the type
     whole = number.isNotNull() & (number % 1 == 0)  # not so for nan and the infinities
     inferred = _fold(
         F.when(present, number.isNotNull()),
         F.when(present, whole & (F.abs(number) < WIDE_LIMIT)),
-        F.when(present, F.lower(text).isin(*BOOLEAN_WORDS)),
+        F.when(present, ~F.col("column_name").isin(*decided) & F.lower(text).isin(*BOOLEAN_WORDS)),
         F.abs(number),
     )
     found = parsed.groupBy("column_name").agg(
@@ -107,7 +111,8 @@ def policy_type(name: str, inferred: str) -> str:
     """Type of a column by its name, or the inferred one if no rule speaks.
 
     Number words are compared with whole parts of the name, so that ``discount`` is
-    not taken for a ``count``; text words are looked for anywhere, as in ``zipcode``. ``score`` stays a float where it has fractions. A
+    not taken for a ``count``; text words are looked for anywhere, as in ``zipcode``.
+    ``score`` stays a float where it has fractions, and a wide number stays wide. A
     number rule corrects one number type to another; text such as the codes of a
     ``position`` is never forced into a number, which would reject its rows.
     """
@@ -124,16 +129,29 @@ def policy_type(name: str, inferred: str) -> str:
     if words & set(FLOAT_WORDS):
         return "float"
     if words & set(INT_WORDS) or lowered.endswith(INT_SUFFIXES):
-        return "float" if "score" in words and inferred == "float" else "int"
+        return inferred if inferred == "wide" or (inferred == "float" and "score" in words) else "int"
     return inferred
 
 
+def decided_by_name(names: Iterable[str]) -> list[str]:
+    """The columns whose type follows from their name alone."""
+    return [n for n in names if len({policy_type(n, kind) for kind in ("bool", "int", "wide", "float", "str")}) == 1]
+
+
+def policy_types(df: DataFrame) -> dict[str, str]:
+    """Types of text columns by the naming rules; only columns that no rule decides are scanned."""
+    decided = decided_by_name(df.columns)
+    rest = [c for c in df.columns if c not in decided]
+    found = schema_map(infer_types(df.select(*[F.col(f"`{c}`") for c in rest]))) if rest else {}
+    return {c: policy_type(c, found.get(c, "str")) for c in df.columns}
+
+
 def apply_type_policy(types: dict[str, str]) -> dict[str, str]:
     return {name: policy_type(name, kind) for name, kind in types.items()}
 
 
-def retype(df: DataFrame, types: dict[str, str]) -> DataFrame:
-    """Coerce every column of ``types``; other columns are left out.
+def retype(df: DataFrame, types: dict[str, str], keep: tuple[str, ...] = ()) -> DataFrame:
+    """Coerce every column of ``types``; other columns are left out but those of ``keep``.
 
     Stripping is a projection of its own, so that it runs once per value.
     """
@@ -141,5 +159,7 @@ def retype(df: DataFrame, types: dict[str, str]) -> DataFrame:
     texts = df.select(
         *[F.col(f"`{c}`").cast("string").alias(f"v{i}") for i, (c, _) in numbered],
         *[strip(F.col(f"`{c}`")).alias(f"s{i}") for i, (c, _) in numbered],
+        *[F.col(f"`{c}`") for c in keep],
     )
-    return texts.select(*[coerce(F.col(f"v{i}"), kind, F.col(f"s{i}")).alias(c) for i, (c, kind) in numbered])
+    typed = [coerce(F.col(f"v{i}"), kind, F.col(f"s{i}")).alias(c) for i, (c, kind) in numbered]
+    return texts.select(*typed, *keep)

@@ -35,12 +35,12 @@ NUMERIC_KINDS = ("int", "float")
 
 
 def value_counts(df: DataFrame, columns: list[str] | None = None, trimmed: bool = True) -> DataFrame:
-    """``(column_name, value, n)``: how often each text occurs in each column.
+    """``(column_name, value, n, below_zero)``: how often each text occurs in each column.
 
     Columns are counted in groups of one type, each group on values of that
     type: a scan per group reads only its own columns, numbers take less room in
-    the shuffle than their digits, and only distinct values become text. With
-    ``trimmed``, blank text counts as null.
+    the shuffle than their digits, and only distinct values become text. The
+    sign is null for other values than numbers. With ``trimmed``, blank text counts as null.
     """
     groups: dict[T.DataType, list[str]] = {}
     for f in df.schema.fields:
@@ -60,7 +60,8 @@ def _counts_of_one_type(df: DataFrame, names: list[str], data_type: T.DataType,
     wide = df.select(*[countable(c).alias(c) for c in names])
     long = wide.unpivot([], [f"`{c}`" for c in names], "column_name", "value")
     counts = long.groupBy("column_name", "value").agg(F.count("*").alias("n"))
-    return counts.withColumn("value", F.col("value").cast("string"))
+    below = F.col("value") < 0 if isinstance(data_type, T.NumericType) else F.lit(None).cast("boolean")
+    return counts.select("column_name", F.col("value").cast("string").alias("value"), "n", below.alias("below_zero"))
 
 
 def _listed(counts: DataFrame, few: DataFrame) -> DataFrame:
@@ -105,8 +106,9 @@ def profile_columns(df: DataFrame, types: dict[str, str], sample_rows: int | Non
     rows = df if sample_rows is None else df.limit(sample_rows)
     counts = value_counts(rows, list(types))
     present = F.col("value").isNotNull()
-    # The cast runs after the counting: once per distinct value, not per row.
-    negative = F.when(present, F.coalesce(parse_double(F.col("value")) < 0, F.lit(False)))
+    # Text is parsed after the counting: once per distinct value, not per row.
+    below = F.coalesce("below_zero", parse_double(F.col("value")) < 0, F.lit(False))
+    negative = F.when(present, below)
     facts = counts.groupBy("column_name").agg(
         F.sum("n").alias("_total"),
         F.sum(F.when(present, F.col("n"))).alias("_present"),
@@ -156,8 +158,20 @@ def approximate_profile(df: DataFrame, types: dict[str, str]) -> DataFrame:
     return wide.select(F.inline(F.array(*[F.col(f"`{c}`") for c in types])))
 
 
+def null_rates(df: DataFrame) -> DataFrame:
+    """``(column_name, null_rate)`` in one scan and one aggregate; blank text counts as null."""
+
+    def rate(f: T.StructField) -> Column:
+        value = F.col(f"`{f.name}`")
+        empty = (F.nullif(strip(value), F.lit("")) if isinstance(f.dataType, T.StringType) else value).isNull()
+        return F.struct(F.lit(f.name).alias("column_name"), ratio(F.count_if(empty), F.count("*")).alias("null_rate"))
+
+    wide = df.agg(F.array(*[rate(f) for f in df.schema.fields]).alias("rates"))
+    return wide.select(F.inline("rates"))
+
+
 def nullable_columns(profile: DataFrame) -> DataFrame:
-    """Columns too sparse to demand a value of."""
+    """Columns too sparse to demand a value of, by their facts or :func:`null_rates`."""
     return profile.filter(F.col("null_rate") > NULLABLE_THRESHOLD).select("column_name", "null_rate")
 
 

@@ -30,6 +30,11 @@ def flag_rows(df: DataFrame, nullable: set[str] = frozenset(), reason: str = COE
     return df.withColumn(REASON, F.when(missing_any(required), F.lit(reason)))
 
 
+def missing_names(columns: list[str]) -> Column:
+    """Names of the columns that are null, joined with commas."""
+    return F.array_join(F.array_compact(F.array(*[F.when(F.col(f"`{c}`").isNull(), F.lit(c)) for c in columns])), ",")
+
+
 def flag_null_key(df: DataFrame, key: str, reason: str) -> DataFrame:
     """Rows without ``key`` are rejected, e.g. as ``null_match_num_pk``."""
     return df.withColumn(REASON, F.when(F.col(key).isNull(), F.lit(reason)))
@@ -44,13 +49,18 @@ def dead_rows(flagged: DataFrame) -> DataFrame:
 
 
 def dead_letters(
-    dead: DataFrame, source: str, batch_id: str, ingested_at: Column, parity: bool = False
+    dead: DataFrame, source: str, batch_id: str, ingested_at: Column, parity: bool = False,
+    required: list[str] | None = None,
 ) -> DataFrame:
     """Rejected rows in dead-letter shape; columns that start with ``_`` stay out of the payload.
 
-    Id and detail are whole; ``parity`` cuts them to 16 and 2,000 characters, as the reference does.
+    The detail names the ``required`` columns that are null, unless the rows bring one of
+    their own. Id and detail are whole; ``parity`` cuts them to 16 and 2,000 characters, as the reference does.
     """
-    detail = F.coalesce(F.col(DETAIL), F.lit("")) if DETAIL in dead.columns else F.lit("")
+    if DETAIL in dead.columns:
+        detail = F.coalesce(F.col(DETAIL), F.lit(""))
+    else:
+        detail = missing_names(required) if required else F.lit("")
     return dead.select(
         (F.left(F.uuid(), F.lit(ID_LENGTH)) if parity else F.uuid()).alias("_dl_id"),
         ingested_at.alias("_ingested_at"),

@@ -6,16 +6,20 @@ import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from goldseam.operators.flatten import CHILD_COLUMNS, PARENT_COLUMNS, flatten_children, flatten_parents
-from goldseam.operators.infer import apply_type_policy, inspect_columns, retype
-from goldseam.operators.split import flag_null_key, flag_rows
+from goldseam.operators.infer import apply_type_policy, decided_by_name, inspect_columns, retype
+from goldseam.operators.split import REASON, flag_null_key, flag_rows
 from goldseam.sources.database import declared_types, read_jdbc, read_sqlite
 from goldseam.sources.files import read_csv_text, read_match_documents
 from goldseam.sources.lake import Lake, now, with_audit
 from goldseam.spec import NULLABLE_THRESHOLD, Slo, SourceSpec, slo_for
 
 
+SURPLUS, SURPLUS_REASON = "_surplus", "more_values_than_columns"
+
+
 @dataclass(frozen=True)
 class LoadResult:
     source_name: str
@@ -28,13 +32,14 @@ class LoadResult:
 
 
 def _read_csv(lake: Lake, spec: SourceSpec) -> tuple[DataFrame, set[str]]:
-    text = read_csv_text(lake.spark, spec.location, multi_line=spec.options.get("multi_line"))
+    text = read_csv_text(lake.spark, spec.location, multi_line=spec.options.get("multi_line"), surplus=SURPLUS)
     sample = spec.options.get("sample_rows")
+    named = text.drop(SURPLUS)
     # Types and null rates come from one scan; one row per column comes back.
-    facts = inspect_columns(text, sample).collect()
+    facts = inspect_columns(named, sample, decided_by_name(named.columns)).collect()
     types = {r["column_name"]: r["inferred_type"] for r in facts}
     sparse = {r["column_name"] for r in facts if r["null_rate"] > NULLABLE_THRESHOLD}
-    return retype(text, apply_type_policy(types)), sparse
+    return retype(text, apply_type_policy({c: types[c] for c in named.columns}), (SURPLUS,)), sparse
 
 
 def _read_database(lake: Lake, spec: SourceSpec) -> DataFrame:
@@ -44,20 +49,30 @@ def _read_database(lake: Lake, spec: SourceSpec) -> DataFrame:
     return read_jdbc(lake.spark, spec.location, spec.db_table, **spec.options)
 
 
-def frames(lake: Lake, spec: SourceSpec) -> dict[str, DataFrame]:
-    """Flagged rows per Bronze table; the first table is the one service levels judge."""
+def _required(df: DataFrame, nullable: set[str] = frozenset()) -> list[str]:
+    return [c for c in df.columns if c not in nullable and not c.startswith("_")]
+
+
+def frames(lake: Lake, spec: SourceSpec) -> dict[str, tuple[DataFrame, list[str]]]:
+    """Flagged rows and required columns per Bronze table; the first table is the one service levels judge."""
     if spec.source_type == "csv":
         rows, nullable = _read_csv(lake, spec)
-        return {spec.target: flag_rows(rows, nullable)}
+        # A value beyond the header belongs to no column, so its row is not known to be right.
+        reason = F.when(F.col(SURPLUS).isNotNull(), F.lit(SURPLUS_REASON)).otherwise(F.col(REASON))
+        flagged = flag_rows(rows, nullable).withColumn(REASON, reason).drop(SURPLUS)
+        return {spec.target: (flagged, _required(rows, nullable))}
     if spec.source_type in ("sqlite", "jdbc"):
-        return {spec.target: flag_rows(_read_database(lake, spec))}
+        rows = _read_database(lake, spec)
+        return {spec.target: (flag_rows(rows), _required(rows))}
     documents = read_match_documents(lake.spark, spec.location, spec.options.get("multi_line", True))
     return {
-        spec.target: flag_null_key(
-            flatten_parents(documents).select(*PARENT_COLUMNS), "match_num", "null_match_num_pk"
+        spec.target: (
+            flag_null_key(flatten_parents(documents).select(*PARENT_COLUMNS), "match_num", "null_match_num_pk"),
+            ["match_num"],
         ),
-        spec.secondary_target: flag_null_key(
-            flatten_children(documents).select(*CHILD_COLUMNS), "match_num", "null_match_num_fk"
+        spec.secondary_target: (
+            flag_null_key(flatten_children(documents).select(*CHILD_COLUMNS), "match_num", "null_match_num_fk"),
+            ["match_num"],
         ),
     }
 
@@ -90,14 +105,14 @@ def ingest(
     slo = slo_for(spec.source_name) if slo is None else slo
     at = now() if at is None else at
     loads = []
-    for table, flagged in frames(lake, spec).items():
-        schema = flagged.drop("_rejection_reason").schema
+    for table, (flagged, required) in frames(lake, spec).items():
+        schema = flagged.drop(REASON).schema
         lake.ensure(table, schema)
         lake.apply_drift(table, schema, drift_policy)
         name = spec.source_name if not loads else f"{spec.source_name}_goals"
         valid, dead, folder, dead_rows = lake.reload_split(with_audit(flagged, name, run_id, at), table)
         if dead:
-            lake.append_dead_letters(dead_rows, name, run_id, at)
+            lake.append_dead_letters(dead_rows, name, run_id, at, required)
         loads.append((table, valid, dead, folder))
     rows_dead = sum(dead for _, _, dead, _ in loads)
     rows_loaded = sum(valid for _, valid, _, _ in loads)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from goldseam.operators.flatten import MATCH_DOCUMENT, SQUAD_ROW
 from goldseam.operators.infer import retype
@@ -11,33 +14,63 @@ from goldseam.operators.infer import retype
 _CSV = {"header": "true", "quote": '"', "escape": '"', "encoding": "UTF-8", "mode": "PERMISSIVE"}
 
 
+def _odd_quotes() -> Column:
+    """Whether a line opens or closes a quoted value that goes on in another line: inside values, quotes are doubled."""
+    return (F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))) % 2 == 1
+
+
 def has_spanning_records(spark: SparkSession, path: str) -> bool:
-    """Whether a quoted value of the files holds a line break.
+    """Whether a quoted value of the files holds a line break."""
+    return not spark.read.text(path).filter(_odd_quotes()).limit(1).isEmpty()
+
+
+def csv_layouts(spark: SparkSession, path: str, multi_line: bool | None = None) -> list[tuple[list[str], bool]]:
+    """Files with the same header line, and whether their records span lines.
 
-    Quotes inside values are doubled, so a line with an odd number of quotes
-    is one that opens or closes a value on another line.
+    One scan of the files. A file gives one row and a header one row, so what comes
+    back is no more than a listing of the folder. With ``multi_line`` given, only
+    first lines are looked at.
     """
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    return not spark.read.text(path).filter(quotes % 2 == 1).limit(1).isEmpty()
+    at = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), at.alias("at"))
+    odd = _odd_quotes() if multi_line is None else F.lit(multi_line)
+    first = F.min_by("value", F.when(F.trim("value") != "", F.col("at")))
+    files = lines.groupBy("file").agg(F.regexp_replace(first, "^\ufeff", "").alias("header"), F.bool_or(odd).alias("spans"))
+    groups = files.filter(F.col("header").isNotNull()).groupBy("header", "spans").agg(F.array_sort(F.collect_list("file")).alias("files"))
+    return [(r["files"], r["spans"]) for r in groups.orderBy("header", "spans").collect()]
 
 
 def read_csv_text(
-    spark: SparkSession, path: str, columns: list[str] | None = None, multi_line: bool | None = None
+    spark: SparkSession,
+    path: str,
+    columns: list[str] | None = None,
+    multi_line: bool | None = None,
+    surplus: str | None = None,
 ) -> DataFrame:
-    """Columns as text, found by their name in the header; one that is missing is null.
+    """Columns as text, found by their name in the header of their own file; one that a file lacks is null.
 
-    Files whose records span lines cannot be cut into several tasks; all others
-    can. By default one cheap scan of the files finds out which kind they are.
+    Files are read in groups of one header each. Files whose records span lines cannot
+    be cut into several tasks; all others can, and stay apart. A column named by
+    ``surplus`` holds the first value beyond the header of a row that has more.
     """
-    if multi_line is None:
-        multi_line = has_spanning_records(spark, path)
-    df = spark.read.options(**_CSV, multiLine=str(multi_line).lower()).csv(path)
-    if not df.columns:
+    parts = []
+    for files, spans in csv_layouts(spark, path, multi_line):
+        reader = spark.read.options(**_CSV, multiLine=str(spans).lower())
+        names = reader.csv(files).columns
+        if surplus is not None:
+            # By place, as the header has no name for it; all files of the group share the header.
+            schema = T.StructType([T.StructField(c, T.StringType()) for c in [*names, surplus]])
+            parts.append(reader.schema(schema).csv(files))
+        else:
+            parts.append(reader.csv(files))
+    if not parts:
         raise ValueError(f"CSV has no header: {path}")
+    df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     if columns is None:
         return df
     missing = F.lit(None).cast("string")
-    return df.select(*[(F.col(f"`{c}`") if c in df.columns else missing).alias(c) for c in columns])
+    wanted = [*columns, *([surplus] if surplus else [])]
+    return df.select(*[(F.col(f"`{c}`") if c in df.columns else missing).alias(c) for c in wanted])
 
 
 def read_csv_typed(spark: SparkSession, path: str, types: dict[str, str], multi_line: bool | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ and a table can be rewritten from its own rows.
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -30,6 +31,10 @@ class SchemaDriftError(Exception):
     """The incoming columns differ from the table and the policy is to halt."""
 
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def now() -> Column:
     return F.current_timestamp().cast("timestamp_ntz")
 
@@ -84,7 +89,7 @@ class Lake:
         audit: bool = True,
         layer: str = "bronze",
         raw: bool = True,
-        partition_by: str | None = None,
+        partition_by: tuple[str, ...] = (),
     ) -> None:
         """Create the table if it is absent; ``raw`` tables get Bronze column names."""
         if isinstance(schema, str):
@@ -93,9 +98,9 @@ class Lake:
         if audit:
             fields += T.StructType.fromDDL(AUDIT_SCHEMA).fields
         columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+        parts = f"PARTITIONED BY ({', '.join(partition_by)}) " if partition_by else ""
         self.spark.sql(
-            f"CREATE TABLE IF NOT EXISTS {self.name(table, layer)} ({columns}) USING parquet "
-            f"{f'PARTITIONED BY (`{partition_by}`) ' if partition_by else ''}"
+            f"CREATE TABLE IF NOT EXISTS {self.name(table, layer)} ({columns}) USING parquet {parts}"
             f"LOCATION '{self._new_folder(table, layer)}'"
         )
 
@@ -177,9 +182,23 @@ class Lake:
         counted.write.insertInto(self.name(table, layer))
         return seen.get["n"]
 
-    def append_dead_letters(self, dead: DataFrame, source: str, run_id: str, at: Column) -> int:
-        self.ensure(DEAD_LETTER_TABLE, DEAD_LETTER_SCHEMA, audit=False, raw=False, partition_by="_source")
-        return self.append(dead_letters(dead, source, run_id, at), DEAD_LETTER_TABLE)
+    def append_dead_letters(
+        self, dead: DataFrame, source: str, run_id: str, at: Column, required: list[str] | None = None
+    ) -> int:
+        """Keep the rejected rows of a run; a run that is repeated replaces its own rows. Returns their number."""
+        keys = ("_source", "_batch_id")
+        self.ensure(DEAD_LETTER_TABLE, DEAD_LETTER_SCHEMA, audit=False, raw=False, partition_by=keys)
+        seen = Observation()
+        letters = self._aligned(dead_letters(dead, source, run_id, at, required=required), DEAD_LETTER_TABLE, "bronze")
+        counted = letters.drop(*keys).observe(seen, F.count(F.lit(1)).alias("n"))
+        # Any text may be part of a key, so the folder is named by its hash.
+        folder = f"{self.root}/bronze/{DEAD_LETTER_TABLE}/{uuid.uuid5(uuid.NAMESPACE_OID, f'{source}/{run_id}').hex}"
+        counted.write.mode("overwrite").parquet(folder)
+        part = ", ".join(f"{k} = {_quoted(v)}" for k, v in zip(keys, (source, run_id), strict=True))
+        table = self.name(DEAD_LETTER_TABLE)
+        self.spark.sql(f"ALTER TABLE {table} ADD IF NOT EXISTS PARTITION ({part}) LOCATION {_quoted(folder)}")
+        self.spark.catalog.refreshTable(table)
+        return seen.get["n"]
 
     def watermark(self, source: str):
         """The last load time of a source, or None."""
@@ -205,17 +224,23 @@ class Lake:
         """Add the seed rows whose key is absent."""
         return self.append(absent_seeds(seeds, self.read(table, layer), key), table, layer)
 
-    def remove_old_versions(self, table: str, layer: str = "bronze") -> int:
+    def remove_old_versions(self, table: str, layer: str = "bronze", older_than_hours: float = 24.0) -> int:
         """Delete the folders that earlier full writes have left; no reader may still be using them.
 
-        Returns how many were deleted. Only folders are listed, no data is read.
+        Younger folders stay, as they may be loads that are written and not yet published.
+        Not for partitioned tables. Returns how many were deleted. Only folders are listed,
+        no data is read.
         """
+        if table == DEAD_LETTER_TABLE:
+            raise ValueError("dead letters have no versions")
+        before = (time.time() - older_than_hours * 3600) * 1000
         described = self.spark.sql(f"DESCRIBE TABLE EXTENDED {self.name(table, layer)}")
         current = described.filter("col_name = 'Location'").first()["data_type"]
         jvm = self.spark.sparkContext._jvm
         folder = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{layer}/{table}")
         fs = folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        old = [s.getPath() for s in fs.listStatus(folder) if s.getPath().getName() not in current.split("/")]
+        old = [s.getPath() for s in fs.listStatus(folder)
+               if s.getPath().getName() not in current.split("/") and s.getModificationTime() <= before]
         return sum(fs.delete(path, True) for path in old)
 
     def materialise(self, df: DataFrame, table: str, layer: str, kind: str = "table") -> DataFrame:

@@ -182,3 +182,18 @@ def test_numbers_beyond_64_bits_are_wide_and_kept(spark):
     got = infer.retype(df, types)
     assert got.schema["big"].dataType.simpleString() == "decimal(38,0)"
     assert sorted(int(r.big) for r in got.collect()) == [int(v) for v in values]
+
+
+def test_null_rates_agree_with_the_profile(spark, rows):
+    df = spark.createDataFrame([(1, " ", None), (None, "x", -0.5), (3, None, 2.0), (4, "y", 1.0)], "a int, b string, c double")
+    full = profile.profile_columns(df, profile.numeric_kinds(df.schema))
+    assert rows(profile.null_rates(df)) == rows(full, "column_name", "null_rate")
+    assert rows(full, "column_name", "ever_negative") == [("a", False), ("b", None), ("c", True)]
+    assert rows(profile.null_rates(df.limit(0))) == [("a", 0.0), ("b", 0.0), ("c", 0.0)]
+
+
+def test_wide_numbers_stay_wide_and_named_columns_are_not_parsed(spark):
+    assert infer.policy_type("goals", "wide") == "wide" and infer.policy_type("goals", "float") == "int"
+    assert infer.decided_by_name(["order_id", "goals", "is_open", "note", "match_date"]) == ["order_id", "is_open", "match_date"]
+    df = spark.createDataFrame([("1", "98765432109876543210", "7")], "order_id string, goals string, note string")
+    assert infer.policy_types(df) == {"order_id": "str", "goals": "wide", "note": "int"}
