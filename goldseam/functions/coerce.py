@@ -28,14 +28,14 @@ NUMBER_PATTERN = r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"
 GROUPED_INTEGER_PATTERN = rf"^[+-]?{_DIGITS}$"
 GROUPED_NUMBER_PATTERN = rf"^[+-]?(?:{_DIGITS}\.?(?:{_DIGITS})?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?$"
 NON_FINITE_PATTERN = r"(?i)^[+-]?(?:nan|inf|infinity)$"
-# Text whose first and last character is a visible ASCII one has nothing to strip.
-BARE_PATTERN = r"^[!-~](?s:.*[!-~])?\z"
 
 
 def strip(value: Column) -> Column:
     """Remove white space of any kind at both ends (``trim`` removes spaces only)."""
     text = value.cast("string")
-    return F.when(text.rlike(BARE_PATTERN), text).otherwise(F.btrim(text, F.lit(WHITESPACE)))
+    # Most text begins and ends with a visible ASCII character and has nothing to strip, which needs no pattern.
+    bare = F.ascii(text).between(33, 126) & F.ascii(F.right(text, F.lit(1))).between(33, 126)
+    return F.when(bare, text).otherwise(F.btrim(text, F.lit(WHITESPACE)))
 
 
 def _blank(value: Column) -> Column:

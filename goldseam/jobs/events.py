@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from goldseam.functions import coerce
@@ -118,7 +118,7 @@ def wide_integers(spark, sf_dir):
     events = adapt.table(spark, sf_dir, "events")
     heads = F.array(*[F.lit(h) for h in ("", "-", "900719925474", "922337203685477", "98765432109876", " +1_0")])
     raw = F.concat(F.get(heads, (F.col("event_id") % 6).cast("int")), F.lpad(F.col("event_id").cast("string"), 12, "7"))
-    return events.select("event_id", coerce.coerce_wide_int(raw).alias("as_wide"))
+    return events.select("event_id", coerce.coerce_wide_int(raw).cast("string").alias("as_wide"))
 
 
 def dead_letter_sink(spark, sf_dir):
@@ -235,9 +235,10 @@ def incremental_load(spark, sf_dir):
     events = adapt.table(spark, sf_dir, "events")
     lake = _events_lake(spark, events)
     for run, available in (("run-1", events.filter(F.col("ts") <= F.lit(CUTOFF))), ("run-2", events)):
-        new = newer_than(available, "ts", lake.watermark("events"))
+        seen = Observation()
+        new = newer_than(available, "ts", lake.watermark("events")).observe(seen, F.max("ts").alias("last"))
         rows = lake.append(new, "RAW_EVENTS")
-        last = lake.read("RAW_EVENTS").agg(F.max("ts")).first()[0]
+        last = seen.get["last"] or lake.watermark("events")
         lake.move_watermark("events", last, rows, run, updated_at=F.lit(last))
     loaded = lake.read("RAW_EVENTS").groupBy(F.col("event_type").alias("item"))
     mark = lake.read("INGESTION_WATERMARKS").select(
@@ -334,7 +335,7 @@ ORACLE = {
                          case when event_id % 3 = 2 then event_type || chr(10) || user_id else event_type end as event_type,
                          props from events""",
     "coerce_wide_int": """select event_id, cast(trim(['', '-', '900719925474', '922337203685477', '98765432109876', '10'][
-                            cast(event_id % 6 as int) + 1] || lpad(cast(event_id as varchar), 12, '7')) as decimal(38,0))
+                            cast(event_id % 6 as int) + 1] || lpad(cast(event_id as varchar), 12, '7')) as decimal(38,0))::varchar
                           as as_wide from events""",
     "dead_letter_sink": """
         select 'events' as source, 'run-1' as batch, 'null_or_coercion_failure' as error_type,

@@ -29,6 +29,7 @@ from goldseam.operators.quality import (
 )
 from goldseam.operators.state import absent_seeds, summarize_runs, upsert
 from goldseam.plans import adapt
+from goldseam.plans.build import stage_with_tests
 from goldseam.plans.silver import LOADED_AT, capital_columns, stage_generic, stage_rules
 from goldseam.session import scratch_path
 from goldseam.sources.database import infer_declared, read_sqlite, write_sqlite_shards
@@ -203,6 +204,18 @@ def run_stage_generic(spark, sf_dir):
     return stage_generic(bronze).drop(LOADED_AT)
 
 
+def run_stage_with_tests(spark, sf_dir):
+    """Orders with gaps, few in one column and many in another, staged and tested by what their values suggest."""
+    orders = adapt.table(spark, sf_dir, "orders").withColumns(
+        {
+            "o_orderpriority": F.when(F.col("o_orderkey") % 50 != 0, F.col("o_orderpriority")),
+            "o_custkey": F.when(F.col("o_orderkey") % 10 != 0, F.col("o_custkey")),
+        }
+    )
+    bronze = with_audit(normalise_columns(orders), "orders", "run-1", load_time())
+    return stage_with_tests(bronze, "stg_orders", "RAW_ORDERS", ["o_totalprice"]).outcomes
+
+
 def run_stage_rules(spark, sf_dir):
     """Orders under raw names: days and moments as text, a 0/1 flag, text in capitals."""
     orders = adapt.table(spark, sf_dir, "orders").select(
@@ -315,6 +328,7 @@ QUERIES = {
     "run_summary": run_summary,
     "name_normalise": name_normalise,
     "stage_generic": run_stage_generic,
+    "stage_with_tests": run_stage_with_tests,
     "stage_rules": run_stage_rules,
     "seed_if_absent": seed_if_absent,
     "watermark_upsert": watermark_upsert,
@@ -396,6 +410,20 @@ def _dictionary_sql(name: str) -> str:
         from suggested where column_name like '{name[0]}\\_%' escape '\\'"""
 
 
+def _suggested_tests_sql(columns: dict[str, str], optional: tuple[str, ...]) -> str:
+    """The suggested tests of the CTE ``src`` and their failures: a test is a row where its condition holds."""
+    tests = []
+    for c, kind in columns.items():
+        if c not in optional:
+            tests.append(f"select 'not_null_{c}' as test_name, count(*) - count({c}) as failures from src "
+                         f"having (count(*) - count({c}))::double / count(*) <= 0.05")
+        tests.append(f"select 'unique_{c}', 0 from src having count({c}) >= 10 and count(distinct {c}) = count({c})")
+        if kind != "str":
+            tests.append(f"select 'at_least_{c}', 0 from src having count({c}) > 0 and min({c}) >= 0")
+    return f"""select 'stg_orders' as model, test_name, case when failures = 0 then 'pass' else 'fail' end as status,
+        cast(failures as bigint) as failures from ({' union all '.join(tests)})"""
+
+
 ORACLE = {
     "profile_columns": f"with {_FACTS} select * from profile",
     "suggest_tests": f"with {_FACTS} select * from suggested",
@@ -483,6 +511,10 @@ ORACLE = {
     "name_normalise": """select p_partkey as PART_KEY, p_name as PART_NAME, p_brand as PART_BRAND, p_type as PART_TYPE,
         p_size as SIZE, p_retailprice as RETAIL_PRICE from part""",
     "stage_generic": "select * from lineitem",
+    "stage_with_tests": """with src as (select * replace (
+          case when o_orderkey % 50 <> 0 then o_orderpriority end as o_orderpriority,
+          case when o_orderkey % 10 <> 0 then o_custkey end as o_custkey) from orders) """
+    + _suggested_tests_sql(_ORDER_COLUMNS, ("o_totalprice",)),
     "stage_rules": """select o_orderkey as order_key, cast(o_orderdate as date) as order_date,
         case when o_custkey % 2 = 0 then date_trunc('second', o_orderdate) end as shipped_at,
         o_orderstatus = 'F' as is_final, lower(o_orderpriority) as priority, 'Note ' || o_orderstatus as note

@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-
+from pyspark.sql import functions as F
+
+from goldseam.operators.governance import dictionary_entries
+from goldseam.operators.profile import (
+    null_rates,
+    nullable_columns,
+    numeric_kinds,
+    profile_columns,
+    suggest_tests,
+    without_not_null,
+)
 from goldseam.operators.quality import (
     Expectation,
+    at_least,
     not_null,
     run_expectations,
     summarize_tests,
@@ -16,7 +28,7 @@ from goldseam.operators.quality import (
 )
 from goldseam.plans.ask import GOLDEN
 from goldseam.plans.gold import mart_goal_analytics, mart_squad_profile, mart_team_performance
-from goldseam.plans.silver import MODELS, stage
+from goldseam.plans.silver import LOADED_AT, MODELS, stage, stage_generic
 from goldseam.sources.lake import Lake
 
 # The Bronze table of each staging model.
@@ -42,8 +54,40 @@ UNIQUE_COLUMNS = {
 NO_NEGATIVE_SCORES = Expectation("holds", condition="home_score >= 0 and away_score >= 0")
 
 
+@dataclass(frozen=True)
+class StagedModel:
+    """A staged table, the outcomes of the tests its values suggested, and its entries in the data dictionary."""
+
+    rows: DataFrame
+    outcomes: DataFrame
+    dictionary: DataFrame
+
+
+def stage_with_tests(bronze: DataFrame, model: str, table: str, optional: list[str] = ()) -> StagedModel:
+    """Stage by the generic model, suggest tests from the values, withdraw those of sparse columns, and run the rest.
+
+    ``optional`` columns may be null whatever their values say. The suggestions, one
+    row per column, come to the driver, where they become tests.
+    """
+    staged = stage_generic(bronze)
+    values = staged.drop(LOADED_AT)
+    suggested = suggest_tests(profile_columns(values, numeric_kinds(values.schema)))
+    sparse = nullable_columns(null_rates(values)).select("column_name")
+    if optional:
+        listed = [F.lit(c.lower()) for c in optional]
+        more = bronze.sparkSession.range(1).select(F.explode(F.array(*listed)).alias("column_name"))
+        sparse = sparse.unionByName(more).distinct()
+    found = without_not_null(suggested, sparse).orderBy("column_name").collect()
+    tests = []
+    for row in found:
+        tests += [{"not_null": not_null, "unique": unique}[t](row["column_name"]) for t in row["tests"]]
+        tests += [at_least(row["column_name"], 0)] if row["nonnegative"] else []
+    facts = bronze.sparkSession.createDataFrame(found, suggested.schema)
+    return StagedModel(staged, run_expectations(staged, model, tests), dictionary_entries(facts, model, table))
+
+
 def silver(lake: Lake) -> dict[str, DataFrame]:
-    """The staging models whose Bronze table exists, each also as a view of its name."""
+    """The staging models whose Bronze table exists, each as a table of the layer."""
     models = {}
     for model, table in BRONZE_TABLES.items():
         if lake.exists(table):

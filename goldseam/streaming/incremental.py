@@ -14,22 +14,22 @@ from goldseam.sources.lake import Lake, now
 BATCH_ID = "_batch_id"
 
 
-def write_batch(flagged: DataFrame, batch_id: int, target: str) -> int:
+def write_batch(flagged: DataFrame, batch_id: int, target: str) -> tuple[int, int]:
     """Write one micro-batch, valid and rejected rows apart, into folders named by the batch.
 
     A batch that is run again after a failure overwrites its own folder, so its
-    rows are never there twice. Returns the number of valid rows.
+    rows are never there twice. Returns the numbers of valid and of rejected rows.
     """
     seen = Observation()
     valid = F.col(REASON).isNull().alias("row_valid")
     (
         flagged.select(*flagged.columns, valid)
-        .observe(seen, F.count_if(F.col("row_valid")).alias("n"))
+        .observe(seen, F.count_if("row_valid").alias("valid"), F.count_if(~F.col("row_valid")).alias("dead"))
         .write.mode("overwrite")
         .partitionBy("row_valid")
         .parquet(f"{target}/{BATCH_ID}={batch_id}")
     )
-    return seen.get["n"]
+    return seen.get["valid"], seen.get["dead"]
 
 
 def load_new_files(
@@ -39,17 +39,27 @@ def load_new_files(
     checkpoint: str,
     lake: Lake | None = None,
     source: str | None = None,
+    required: list[str] | None = None,
 ) -> StreamingQuery:
     """Process what has arrived since the last run, then stop.
 
     The stream's checkpoint takes the place of a watermark value. With ``lake``
-    and ``source`` the watermark table is still kept, as a record of the loads.
+    and ``source`` the watermark table is still kept, as a record of the loads, and
+    rejected rows go to the dead letters, where a repeated batch replaces its own;
+    ``required`` names the columns whose absence the detail tells.
     """
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        rows = write_batch(flag(batch), batch_id, target)
-        if lake is not None:
-            lake.move_watermark(source, now(), rows, f"batch-{batch_id}")
+        flagged = flag(batch)
+        valid, rejected = write_batch(flagged, batch_id, target)
+        if lake is None:
+            return
+        run = f"batch-{batch_id}"
+        if rejected:
+            written = f"{target}/{BATCH_ID}={batch_id}/row_valid=false"
+            dead = batch.sparkSession.read.schema(flagged.schema).parquet(written)
+            lake.append_dead_letters(dead, source, run, now(), required)
+        lake.move_watermark(source, now(), valid, run)
 
     return (
         stream.writeStream.foreachBatch(process)

@@ -12,7 +12,7 @@ def test_only_new_files_are_loaded(spark, lake, tmp_path):
 
     def run():
         stream = spark.readStream.schema(schema).json(landing)
-        load_new_files(stream, flag_rows, target, checkpoint, lake, "api").awaitTermination()
+        load_new_files(stream, flag_rows, target, checkpoint, lake, "api", ["id", "v"]).awaitTermination()
         return sorted((r.id, r["_batch_id"]) for r in read_loaded(spark, target).collect())
 
     spark.createDataFrame([(1, "a"), (2, None)], schema).write.json(landing)
@@ -21,6 +21,8 @@ def test_only_new_files_are_loaded(spark, lake, tmp_path):
     spark.createDataFrame([(3, "c")], schema).write.mode("append").json(landing)
     assert run() == [(1, 0), (3, 1)]
     assert [r.id for r in read_loaded(spark, target, valid=False).collect()] == [2]
+    letters = lake.read("DEAD_LETTER").select("_source", "_batch_id", "_error_detail")
+    assert [tuple(r) for r in letters.collect()] == [("api", "batch-0", "v")]
     mark = lake.read("INGESTION_WATERMARKS").first()
     assert (mark.source_name, mark.last_batch_id, mark.rows_loaded) == ("api", "batch-1", 1)
 
