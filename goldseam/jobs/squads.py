@@ -25,11 +25,11 @@ def age_years(spark, sf_dir):
     return players.select("player_id", gold.age_years(F.col("date_of_birth"), as_of()).alias("age"))
 
 
-def stage_players(spark, sf_dir):
+def raw_players(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Players in Bronze shape: text in capitals, the birthday as text, some of them no day at all."""
     players = adapt.players(spark, sf_dir)
     no_day = F.col("player_id") % 13 == 0
-    raw = players.select(
+    return players.select(
         "player_id",
         F.concat(F.lit("Player "), F.col("player_id").cast("string")).alias("player_name"),
         F.upper("team_name").alias("team_name"),
@@ -40,17 +40,22 @@ def stage_players(spark, sf_dir):
         "club_country",
         F.when(no_day, "unknown").otherwise(F.col("date_of_birth").cast("string")).alias("date_of_birth"),
     )
-    return stage(raw, "stg_player_profiles").drop(LOADED_AT)
 
 
-def stage_teams(spark, sf_dir):
-    nation = adapt.table(spark, sf_dir, "nation")
-    raw = nation.select(
+def stage_players(spark, sf_dir):
+    return stage(raw_players(spark, sf_dir), "stg_player_profiles").drop(LOADED_AT)
+
+
+def raw_teams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return adapt.table(spark, sf_dir, "nation").select(
         F.col("n_name").alias("team_name"),
         F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("fifa_code"),
         F.concat(F.lit("Group "), F.col("n_regionkey").cast("string")).alias("group_name"),
     )
-    return stage(raw, "stg_national_teams").drop(LOADED_AT)
+
+
+def stage_teams(spark, sf_dir):
+    return stage(raw_teams(spark, sf_dir), "stg_national_teams").drop(LOADED_AT)
 
 
 def sparse_players(spark: SparkSession, sf_dir: str) -> DataFrame:

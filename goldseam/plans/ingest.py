@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from goldseam.operators.flatten import CHILD_COLUMNS, PARENT_COLUMNS, flatten_children, flatten_parents
 from goldseam.operators.infer import apply_type_policy, decided_by_name, inspect_columns, retype
 from goldseam.operators.split import REASON, flag_null_key, flag_rows
+from goldseam.session import scratch_path
 from goldseam.sources.database import declared_types, read_jdbc, read_sqlite
 from goldseam.sources.files import read_csv_text, read_match_documents
 from goldseam.sources.lake import Lake, now, with_audit
@@ -64,7 +65,10 @@ def frames(lake: Lake, spec: SourceSpec) -> dict[str, tuple[DataFrame, list[str]
     if spec.source_type in ("sqlite", "jdbc"):
         rows = _read_database(lake, spec)
         return {spec.target: (flag_rows(rows), _required(rows))}
-    documents = read_match_documents(lake.spark, spec.location, spec.options.get("multi_line", True))
+    # Parsed once into columns, from which each table then reads its own fields.
+    parsed = scratch_path(lake.spark, "documents")
+    read_match_documents(lake.spark, spec.location, spec.options.get("multi_line", True)).write.parquet(parsed)
+    documents = lake.spark.read.parquet(parsed)
     return {
         spec.target: (
             flag_null_key(flatten_parents(documents).select(*PARENT_COLUMNS), "match_num", "null_match_num_pk"),
@@ -149,5 +153,3 @@ def run_log(lake: Lake, results: list[LoadResult]) -> DataFrame:
     return lake.spark.createDataFrame(
         rows, "source_name string, run_no int, status string, rows_ingested bigint, dead_letter_count bigint"
     )
-
-

@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from goldseam.functions.text import row_hash
+from goldseam.operators.governance import within_retention
 from goldseam.operators.split import REASON, dead_letters
 from goldseam.operators.state import WATERMARK_SCHEMA, absent_seeds, upsert
-from goldseam.spec import AUDIT_COLUMNS, DEAD_LETTER_TABLE, LAYERS, WATERMARK_TABLE, column_name
+from goldseam.spec import AUDIT_COLUMNS, DEAD_LETTER_TABLE, LAYERS, RETENTION_DAYS, WATERMARK_TABLE, column_name
 
 AUDIT_SCHEMA = "_ingested_at timestamp_ntz, _source_name string, _pipeline_run_id string"
 DEAD_LETTER_SCHEMA = (
@@ -243,6 +244,12 @@ class Lake:
                if s.getPath().getName() not in current.split("/") and s.getModificationTime() <= before]
         return sum(fs.delete(path, True) for path in old)
 
+    def expire(
+        self, table: str, as_of: Column, column: str = AUDIT_COLUMNS[0], days: int = RETENTION_DAYS, layer: str = "bronze"
+    ) -> int:
+        """Rewrite the table without the rows past their retention; returns the rows that stay. Safe to repeat."""
+        return self.reload(within_retention(self.read(table, layer), as_of, column, days), table, layer)
+
     def materialise(self, df: DataFrame, table: str, layer: str, kind: str = "table") -> DataFrame:
         """Publish a model in its layer.
 
