@@ -13,8 +13,8 @@ from goldseam.jobs.inputs import with_inputs
 from goldseam.operators.flatten import flatten_children, flatten_parents
 from goldseam.operators.governance import within_retention
 from goldseam.operators.infer import infer_json_types
-from goldseam.operators.split import flag_rows
-from goldseam.operators.state import newer_than
+from goldseam.operators.split import dead_rows, flag_null_key, flag_rows, valid_rows
+from goldseam.operators.state import newer_than, unseen
 from goldseam.plans import adapt
 from goldseam.session import scratch_path
 from goldseam.sources.files import read_csv_typed, read_match_documents
@@ -247,6 +247,31 @@ def incremental_load(spark, sf_dir):
     return loaded.agg(F.count("*").alias("n"), F.max("ts").alias("at")).unionByName(mark)
 
 
+def incremental_late(spark, sf_dir):
+    """Two loads of events of which some have no time and some arrive late: the first are rejected, the second found."""
+    no_time, late = F.col("event_id") % 50 == 0, F.col("event_id") % 33 == 0
+    events = adapt.table(spark, sf_dir, "events").withColumn("ts", F.when(~no_time, F.col("ts")))
+    lake, overlap = _events_lake(spark, events), dt.timedelta(days=400)
+    at = F.lit("2026-06-11 00:00:00").cast("timestamp_ntz")
+    early = events.filter(no_time | ((F.col("ts") <= F.lit(CUTOFF)) & ~late))
+    for run, available in (("run-1", early), ("run-2", events.filter(~no_time))):
+        flagged, mark = flag_null_key(available, "ts", "null_ts"), lake.watermark("events")
+        if mark is None:
+            lake.append_dead_letters(dead_rows(flagged), "events", run, at, required=["ts"])
+        new = unseen(
+            newer_than(valid_rows(flagged), "ts", mark, overlap), lake.read("RAW_EVENTS"), "event_id", "ts", mark, overlap
+        )
+        seen = Observation()
+        rows = lake.append(new.observe(seen, F.max("ts").alias("last")), "RAW_EVENTS")
+        last = seen.get["last"] or mark
+        lake.move_watermark("events", last, rows, run, updated_at=F.lit(last))
+    letters = lake.read("DEAD_LETTER").select(
+        F.variant_get("_raw_payload", "$.event_id", "long").alias("event_id"),
+        F.concat_ws(":", "_batch_id", "_error_type", "_error_detail").alias("outcome"),
+    )
+    return letters.unionByName(lake.read("RAW_EVENTS").select(F.col("EVENT_ID").alias("event_id"), F.lit("loaded").alias("outcome")))
+
+
 def incremental_stream(spark, sf_dir):
     """Files that arrive between two runs of a stream; each is loaded once, split into valid and rejected."""
     landing, target, checkpoint = (scratch_path(spark, x) for x in ("landing", "loaded", "stream"))
@@ -279,6 +304,7 @@ QUERIES = {
     "src_json_nested": src_json_nested,
     "infer_json": infer_json,
     "incremental_load": incremental_load,
+    "incremental_late": incremental_late,
     "incremental_stream": incremental_stream,
     "retention": retention,
 }
@@ -364,6 +390,8 @@ ORACLE = {
     "incremental_load": f"""
         select event_type as item, count(*) as n, max(ts) as at from events group by event_type union all
         select 'run-2', count(*) filter (where ts > timestamp '{CUTOFF}'), max(ts) from events""",
+    "incremental_late": """select event_id,
+        case when event_id % 50 = 0 then 'run-1:null_ts:ts' else 'loaded' end as outcome from events""",
     "incremental_stream": f"""
         select event_id, ts, user_id, event_type, value, props, cast(ts > timestamp '{CUTOFF}' as int) as batch
         from events where value <= 400""",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,13 +36,23 @@ def absent_seeds(seeds: DataFrame, table: DataFrame, key: str) -> DataFrame:
     return seeds.join(table.select(key), key, "left_anti")
 
 
-def newer_than(df: DataFrame, column: str, watermark) -> DataFrame:
+def newer_than(df: DataFrame, column: str, watermark, overlap: dt.timedelta | None = None) -> DataFrame:
     """Rows after the watermark, or all rows where there is none yet.
 
     ``watermark`` is a value, read from one row of the control table, so the
-    comparison is pushed down to the scan.
+    comparison is pushed down to the scan. With an ``overlap``, rows that arrive
+    late by less than it are found as well, and so are those already loaded:
+    :func:`unseen` tells them apart. A row without a time is in no load but the first;
+    flag such rows before and keep them as dead letters.
     """
-    return df if watermark is None else df.filter(F.col(column) > F.lit(watermark))
+    if watermark is None:
+        return df
+    return df.filter(F.col(column) > F.lit(watermark if overlap is None else watermark - overlap))
+
+
+def unseen(df: DataFrame, table: DataFrame, key: str, column: str, watermark, overlap: dt.timedelta) -> DataFrame:
+    """Rows whose key the table lacks, where only its rows within the overlap can have them."""
+    return df if watermark is None else df.join(newer_than(table, column, watermark, overlap).select(key), key, "left_anti")
 
 
 def summarize_runs(log: DataFrame) -> DataFrame:
