@@ -255,6 +255,16 @@ def _verify(threshold: float):
     return run
 
 
+def _one_text_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of equal key and text are the same node, however many there are; a task passes on one of them."""
+    seen: set[int] = set()
+    for batch in batches:
+        nodes = batch.column("node").to_pylist()
+        first = [at for at, node in enumerate(nodes) if not (node in seen or seen.add(node))]
+        if first:
+            yield batch if len(first) == len(nodes) else batch.take(pa.array(first, pa.int64()))
+
+
 def _cells(frame: DataFrame, blocks: Column) -> DataFrame:
     """Deals each row to the cells of its block: with itself and with every other block."""
     dealt = frame.withColumn("blocks", blocks.cast("int")).withColumn(
@@ -310,7 +320,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     placed = placed.join(totals, "cluster").select(
         "node", "cluster", "copies", "total", F.col("who.rank").alias("rank"), F.col("who.mark").alias("mark")
     )
-    with_text = lookup(marked, cut(placed), ["rank", "mark"], "inner")
+    with_text = lookup(marked, cut(placed), ["rank", "mark"], "inner").select("node", "cluster", "copies", "total", "text")
+    with_text = with_text.mapInArrow(_one_text_each, "node long, cluster long, copies long, total long, text string")
     dealt = _cells(with_text, F.ceil(F.col("total") / BLOCK_SHINGLES)).select(
         "cluster", "i", "j", "block", "node", "copies", "text"
     )

@@ -205,3 +205,12 @@ def test_a_shared_passage_goes_and_the_rest_stays(spark):
     got = {r.doc_id: r.text for r in passage_dedup.drop_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[0] == rows[0][1]
     assert all(got[i] == f"Own opening {i} here. Own ending {i} there." for i in range(1, 5))
+
+
+def test_repeated_rows_are_one_node(spark):
+    """Rows without a key that share a text, most of the table, with a near copy of it."""
+    words = " ".join(f"w{i}" for i in range(80))
+    rows = [(None, words)] * 500 + [(7, words + " end")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = jaccard_join.jaccard_join(docs).groupBy("doc_id", "class_id", "n_links").count().collect()
+    assert {(r[0], r[1], r[2]): r[3] for r in found} == {(None, 7, 500): 500, (7, 7, 500): 1}
