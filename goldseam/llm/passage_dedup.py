@@ -3,9 +3,11 @@
 Texts are tiled with units: a sentence with the marks and white space behind it,
 or a line's rest. Units are normalised and hashed, digests are grouped globally,
 and the occurrence in the least document (then at the least offset) is kept.
-Repeated units go if the run of them that they stand in has MIN_WORDS words or
-more: a passage goes as a whole, however its lines are cut, while a short phrase
-that happens to occur elsewhere stays. Offsets of what went are kept.
+A line of repeated units only goes, whatever its length. In a line that also has
+something of its own, repeated sentences go if the run of them that they stand in
+has MIN_WORDS words or more: "Dr." or "1." in front of a new sentence stays.
+A mark right before a digit or a small letter ends no sentence, so that 3.14 is not
+taken for a repeated 3 and a repeated 14. Offsets of what went are kept.
 
 Only hashes and offsets are grouped and joined; the digest of a unit that very
 many documents share is pre-aggregated per task, and AQE splits its join.
@@ -23,9 +25,9 @@ from pyspark.sql import functions as F
 
 from goldseam.llm.common import cut, whole
 
-MIN_WORDS = 25
+MIN_WORDS = 5
 LAST = 2**63 - 1
-_UNIT = re.compile(r"[^.!?\n]+[.!?]*\s*|[.!?\s]+")
+_UNIT = re.compile(r"(?:[^.!?\n]|[.!?]++(?=[a-z0-9]))++[.!?]*+\s*+|[.!?\s]++")
 
 
 def units(text: str) -> Iterator[tuple[int, int, str]]:
@@ -55,20 +57,31 @@ def _hash_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def removed_spans(text: str, repeated: set[int], min_words: int) -> list[tuple[int, int]]:
-    """Runs of units whose starts are in ``repeated``, of at least ``min_words`` words."""
-    spans: list[tuple[int, int]] = []
-    start, end, words = 0, 0, 0
+    """Spans of units whose starts are in ``repeated``: whole lines of them, and runs of at least ``min_words`` words."""
+    runs: list[list[list]] = [[]]
+    line: list[list] = []
+    whole_line = True
     for a, b, normal in units(text):
-        if a in repeated or (not normal and words):
-            if not words:
-                start = a
-            end, words = b, words + len(normal.split())
-            continue
-        if words >= min_words:
-            spans.append((start, end))
-        words = 0
-    if words >= min_words:
-        spans.append((start, end))
+        if a in repeated or not normal:
+            unit = [a, b, len(normal.split()), False]
+            line.append(unit)
+            if normal or runs[-1]:
+                runs[-1].append(unit)
+        else:
+            whole_line = False
+            runs.append([])
+        if b == len(text) or "\n" in text[a:b]:
+            for unit in line:
+                unit[3] = whole_line
+            line, whole_line = [], True
+    spans: list[tuple[int, int]] = []
+    for run in runs:
+        long = sum(words for _, _, words, _ in run) >= min_words
+        for a, b, _, alone in run:
+            if long or alone:
+                if spans and spans[-1][1] == a:
+                    a = spans.pop()[0]
+                spans.append((a, b))
     return spans
 
 

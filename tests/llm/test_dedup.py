@@ -214,3 +214,32 @@ def test_repeated_rows_are_one_node(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     found = jaccard_join.jaccard_join(docs).groupBy("doc_id", "class_id", "n_links").count().collect()
     assert {(r[0], r[1], r[2]): r[3] for r in found} == {(None, 7, 500): 500, (7, 7, 500): 1}
+
+
+def left_over(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    return {r.doc_id: r.text for r in passage_dedup.drop_repeats(docs).collect()}
+
+
+def test_repeated_short_lines_go(spark):
+    license_line = "This work is licensed under the GNU General Public License, version 3."
+    texts = [f"Own words of text {i} begin it.\n{license_line}\nMenu\nIt ends with {i} words." for i in range(4)]
+    got = left_over(spark, [*texts, "Menu", f"Menu\n{license_line}", "Fresh line. Menu\nNew"])
+    assert got[0] == texts[0]
+    assert all(got[i] == f"Own words of text {i} begin it.\nIt ends with {i} words." for i in range(1, 4))
+    assert (got[4], got[5], got[6]) == ("", "", "Fresh line. Menu\nNew")
+
+
+def test_a_passage_cut_inside_sentences_loses_its_whole_sentences(spark):
+    inner = " ".join(f"sentence {i} inside of it has words." for i in range(3))
+    passage = f"{' '.join(f'head{i}' for i in range(17))}. {inner} {' '.join(f'tail{i}' for i in range(17))}"
+    assert 50 < len(passage.split()) <= 92
+    got = left_over(spark, [f"Here text {i} opens with {passage} and closes by {i}." for i in range(3)])
+    assert inner in got[0] and not any(inner in got[i] for i in (1, 2))
+    assert all(f"Here text {i} opens with" in got[i] and f"closes by {i}." in got[i] for i in range(3))
+
+
+def test_new_lines_of_known_parts_stay(spark):
+    texts = ["3.5 and\n14\n", "3.14\n", "Dr. Who\n", "Dr. Strange speaks here\n"]
+    got = left_over(spark, ["3.\n", *texts])
+    assert [got[i + 1] for i in range(4)] == texts
