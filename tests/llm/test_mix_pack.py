@@ -1,3 +1,4 @@
+import functools
 import zlib
 from collections import Counter, defaultdict
 
@@ -169,3 +170,52 @@ def test_the_encoder_gives_the_tokenizers_ids(text):
     tokenizer = Tokenizer.from_file(tokenizer_file())
     tokenizer.encode_special_tokens = True
     assert packing._encoder(tokenizer_file()).encode_ordinary(text) == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+MARKED = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>  y \n <|endoftext|", "no marker", "<|endoftext|>" + "word " * 3_000]
+
+
+def test_pack_knows_the_added_tokens(spark):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(tokenizer_file())
+    assert tokenizer.encode(MARKED[0], add_special_tokens=False).ids == [64, 220, 50256, 275]
+    got = packing.pack(spark.createDataFrame(list(enumerate(MARKED)), "doc_id long, text string"), tokenizer_file()).collect()
+    want = Counter()
+    for key, text in enumerate(MARKED):
+        ids = np.array([*tokenizer.encode(text, add_special_tokens=False).ids, 2], "<u4")
+        bounds = packing.piece_bounds(len(ids), 1024)
+        for piece, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)):
+            want[key, piece, a, b - a, zlib.crc32(ids[a:b].tobytes())] += 1
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == want
+
+
+@functools.cache
+def loaded_tokenizer():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(tokenizer_file())
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.one_of(st.text(max_size=12), st.sampled_from(["<|endoftext|>", " ", "<|", "|>"])), max_size=8))
+def test_ids_with_markers_are_those_of_the_tokenizer_as_loaded(parts):
+    text = "".join(parts)
+    tokenizer = loaded_tokenizer()
+    assert list(packing._ids(tokenizer_file())(text)) == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("flag", ["lstrip", "rstrip", "single_word"])
+def test_added_tokens_that_take_neighbours_along(tmp_path, flag):
+    import json
+
+    from tokenizers import Tokenizer
+
+    with open(tokenizer_file(), encoding="utf-8") as file:
+        described = json.load(file)
+    described["added_tokens"][0][flag] = True
+    path = tmp_path / "tokenizer.json"
+    path.write_text(json.dumps(described), encoding="utf-8")
+    tokenizer = Tokenizer.from_file(str(path))
+    for text in MARKED:
+        assert list(packing._ids(str(path))(text)) == tokenizer.encode(text, add_special_tokens=False).ids
