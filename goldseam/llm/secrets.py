@@ -4,8 +4,8 @@ All of it is column expressions. A candidate is a run of one character class; a
 window slides over it and keeps the counts of its characters and the sum of
 c * log2(c) over them, which one character in and one out change by four table
 values. Windows whose Shannon entropy reaches the class's bound are merged to
-spans. Candidates on the allow list, and spans that touch one of a fixed pattern,
-are passed over.
+spans. Candidates on the allow list are passed over, windows do not reach into stated
+examples, and what a fixed pattern has found is cut out of the spans.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ HEX = r"[0-9a-f]{24,}+"
 KINDS = ("assign", "access", "hex")
 
 _SPANS = "array<struct<start:int,end:int,body:string>>"
+_PIECES = "array<struct<start:int,end:int>>"
 
 
 @dataclass(frozen=True)
@@ -43,12 +44,14 @@ CLASSES = (
     CharacterClass("entropy_hex", _DIGITS + "abcdefABCDEF", r"(?<![0-9A-Za-z])[0-9A-Fa-f]{16,}+(?![0-9A-Za-z])", 16, 2.9),
     CharacterClass("entropy_base64", _DIGITS + _LOWER + _UPPER + "+/_=-", r"[A-Za-z0-9+/_=-]{20,}+", 20, 3.8),
 )
-#: Plain words, numbers, identifiers in UUID form, the alphabet's and the digits' own order, and stated examples.
+_WORD = r"(?:[A-Z]?+[a-z]++(?:[A-Z][a-z]{2,}+)*+|[A-Z]++)"
+#: Numbers, identifiers in UUID form, and words (one case, capitalised or camel case) with marks between them.
 ALLOWED = (
-    r"^[A-Za-z]?[a-z]+$", r"^[A-Z]+$", r"^[0-9]+$", r"^[A-Za-z]+([-_/+=]+[A-Za-z]+)*[-_/+=]*$",
+    r"^[A-Z]+$", r"^[0-9]+$", rf"^{_WORD}(?:[-_/+=]++{_WORD})*+[-_/+=]*+$",
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    r"(?i)(0123456789|abcdefghij|example|placeholder|xxxxxx)",
 )
+#: The alphabet's and the digits' own order and stated examples, with up to a window of what is written in one with them.
+EXAMPLE = r"(?i)[a-z0-9]{0,20}(?:0123456789|abcdefghij|example|placeholder|xxxxxx)[a-z0-9]{0,20}"
 
 
 def found(text: Column, pattern: str) -> Column:
@@ -135,6 +138,50 @@ def allowed(body: Column) -> Column:
     return tests
 
 
+def _without(spans: Column, holes: Column) -> Column:
+    """What is left of each span (start, end) outside the holes, in order."""
+
+    def pieces(span: Column) -> Column:
+        def step(state: Column, hole: Column) -> Column:
+            hits = (hole["start"] < span["end"]) & (state["at"] < hole["end"])
+            piece = F.array(F.struct(state["at"].alias("start"), hole["start"].alias("end")))
+            return F.struct(
+                F.when(hits, hole["end"]).otherwise(state["at"]).alias("at"),
+                F.when(hits & (state["at"] < hole["start"]), F.concat(state["parts"], piece))
+                .otherwise(state["parts"]).cast(_PIECES).alias("parts"),
+            )
+
+        begin = F.struct(span["start"].alias("at"), F.array().cast(_PIECES).alias("parts"))
+        return F.aggregate(
+            F.array_sort(holes), begin, step,
+            lambda state: F.when(
+                state["at"] < span["end"],
+                F.concat(state["parts"], F.array(F.struct(state["at"].alias("start"), span["end"].alias("end")))),
+            ).otherwise(state["parts"]).cast(_PIECES),
+        )
+
+    return F.flatten(F.transform(spans, pieces))
+
+
+def _candidates(text: Column, kind: CharacterClass) -> Column:
+    """The candidates of a class that are not allowed; one with stated examples in it is cut into what lies between them."""
+
+    def split(candidate: Column) -> Column:
+        body = candidate["body"]
+        all_of_it = F.array(F.struct(F.lit(0).alias("start"), F.length(body).alias("end")))
+        parts = F.transform(
+            _without(all_of_it, found(body, EXAMPLE)),
+            lambda p: F.struct(
+                (candidate["start"] + p["start"]).alias("start"), (candidate["start"] + p["end"]).alias("end"),
+                F.substring(body, p["start"] + 1, p["end"] - p["start"]).alias("body"),
+            ),
+        )
+        parts = F.filter(parts, lambda p: (F.length(p["body"]) >= kind.window) & ~allowed(p["body"]))
+        return F.when(F.regexp_like(body, F.lit(EXAMPLE)), parts.cast(_SPANS)).otherwise(F.array(candidate).cast(_SPANS))
+
+    return F.flatten(F.transform(F.filter(found(text, kind.pattern), lambda s: ~allowed(s["body"])), split))
+
+
 def _tagged(spans: Column, number: int, kind: str) -> Column:
     return F.transform(
         spans,
@@ -163,18 +210,13 @@ def find_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
         ).alias("assign"),
         found(F.col("text"), ACCESS).alias("access"),
         found(F.col("text"), HEX).alias("hex"),
-        *(
-            F.filter(found(F.col("text"), c.pattern), lambda s: ~allowed(s["body"])).alias(c.name)
-            for c in CLASSES
-        ),
+        *(_candidates(F.col("text"), c).alias(c.name) for c in CLASSES),
     )
     frame = frame.withColumn("base", F.concat(*(_tagged(F.col(k), i, k) for i, k in enumerate(KINDS))))
     added = []
     for i, c in enumerate(CLASSES, len(KINDS)):
         inside = _entropy_spans(F.col(c.name), c)
-        fresh_spans = F.filter(
-            inside, lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-        )
+        fresh_spans = _without(inside, F.col("base"))
         added.append(_tagged(fresh_spans, i, c.name))
     frame = frame.withColumn("added", F.concat(*added))
     return frame.select(

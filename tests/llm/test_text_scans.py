@@ -73,6 +73,27 @@ def test_secret_texts(spark):
     assert [s.split(":")[0] for s in got[4].spans.split(",")] == ["entropy_hex"]
 
 
+def added_secrets(spark, texts):
+    rows = secrets.find_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()
+    spans = {r.doc_id: [s.split(":") for s in r.spans.split(",") if s.startswith("entropy_base64")] for r in rows}
+    return [[texts[i][int(a) : int(b)] for _, a, b in spans[i]] for i in range(len(texts))]
+
+
+def test_added_secrets(spark):
+    key, plain = "q8Zt3LmX0pR7vKc2YwBn5HsD", "qbZtcLmXopRevKcuYwBnaHsDfGiJkNQx"
+    words = ["getElementByIdentifierName", "Quick-brown_Fox/jumps+OVER", "the/quick/brown/fox/jumps/over"]
+    texts = [
+        plain, f"{plain}/{plain}", f"docs/example/{key}", f"{key}_xxxxxx_{key}", f"EXAMPLE{key[:20]}",
+        f"AKIA{'Z' * 16}/{key}", f"{'0a1b2c3d' * 3}-{key}", *words, "x" * 3_000, "aB/" * 100,
+    ]
+    got = added_secrets(spark, texts)
+    assert got[:2] == [[plain], [f"{plain}/{plain}"]]
+    assert len(got[2]) == 1 and got[2][0].strip("/") == key
+    assert [g.strip("_") for g in got[3]] == [key, key] and got[4] == []
+    assert [g.strip("/-") for g in got[5] + got[6]] == [key, key]
+    assert got[7:] == [[]] * 5
+
+
 def test_windows_equal_a_recount(spark):
     rng = random.Random(2)
     for kind in secrets.CLASSES:
