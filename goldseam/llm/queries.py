@@ -7,14 +7,18 @@ from pyspark.sql import DataFrame, SparkSession
 from goldseam.llm import (
     exact_dedup,
     jaccard_join,
+    merkle,
     packing,
     pareto_mix,
     passage_dedup,
     piecewise_hash,
+    prefix_trie,
     private_data,
     rule_quality,
     secrets,
+    twins,
     url_filter,
+    weak_rules,
 )
 from goldseam.llm.common import load
 
@@ -66,6 +70,18 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(load(spark, sf_dir, "documents"))
 
 
+def op11_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weak_rules.judge(load(spark, sf_dir, "documents"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(load(spark, sf_dir, "conversations"))
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(load(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_mix": op1_mix,
     "op2_fingerprint": op2_fingerprint,
@@ -77,6 +93,9 @@ QUERIES = {
     "op8_private_data": op8_private_data,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_votes": op11_votes,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_manifest": op13_manifest,
 }
 
 ORACLE = {
@@ -87,4 +106,6 @@ ORACLE = {
         select doc_id, max(doc_id) over (partition by t) as keep_id, count(*) over (partition by t) as group_size,
                doc_id = max(doc_id) over (partition by t) as kept, sha256(t) as text_sha256
         from normal""",
+    "op12_prefix_trie": twins.TRIE_SQL,
+    "op13_manifest": twins.merkle_sql(),
 }

@@ -87,7 +87,7 @@ def test_pipeline_stages(spark, tmp_path):
 def test_registered(spark):
     names = registry.queries()
     assert {"pipeline", *(n for n in names if n.startswith("op"))} <= set(names)
-    assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op")) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op")) == list(range(1, 14))
 
 
 def test_exact_query_equals_its_sql(spark):
