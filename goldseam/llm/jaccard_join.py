@@ -6,10 +6,11 @@ and a pair is dropped once the posterior probability that its similarity reaches
 the threshold falls below TOLERANCE. What survives falls into candidate clusters,
 and within those the remaining pairs are verified on their full shingle sets.
 
-No table of pairs is ever made. A bucket or cluster emits the links of a spanning
-forest and, per node, a number of links. Buckets of the same members are compared
-once; a bucket or cluster too large for one task is cut into blocks, and every two
-blocks meet in a task of their own.
+No table of pairs is ever made. A bucket or cluster emits, for each group of
+linked nodes, a star around the least, and per node a number of links. Buckets of
+the same members are compared once; a bucket or cluster too large for one task is
+cut into blocks, and every two blocks meet in a task of their own. Intermediate
+tables are dropped once what was made of them is written.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from goldseam.llm.common import cut, fresh, lookup, whole
+from goldseam.llm.common import Tables, fresh, lookup, whole
 from goldseam.llm.components import components
 
 WIDTH = 5
@@ -34,7 +35,8 @@ BANDS, BAND_ROWS = 42, 6
 COMPARED, STEP = 128, 16
 TOLERANCE = 1e-6
 BUCKET_ROWS = 2_048
-BLOCK_SHINGLES = 500_000
+#: A task compares two blocks of at most about so many shingles and texts.
+BLOCK_SHINGLES, BLOCK_TEXTS = 500_000, 512
 LAST = 2**63 - 1
 
 _RANDOM = np.random.default_rng(11)
@@ -177,14 +179,19 @@ def _link_buckets(threshold: float):
             todo = np.arange(len(nodes))
             while len(todo) > 1:
                 reached, todo = [todo[0]], todo[1:]
+                found = reached[:]
                 while reached and len(todo):
                     x = reached.pop()
                     near = may_reach(signatures, sizes, x, todo, threshold, fewest)
                     if len(near):
-                        a += [int(nodes[x])] * len(near)
-                        b += nodes[near].tolist()
+                        found += near.tolist()
                         reached += near.tolist()
                         todo = np.setdiff1d(todo, near, assume_unique=True)
+                # A star around the least node: the links of many buckets then meet in few steps.
+                if len(found) > 1:
+                    least, *rest = np.sort(nodes[found]).tolist()
+                    a += [least] * len(rest)
+                    b += rest
             if len(a) > 50_000:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
                 a, b = [], []
@@ -197,7 +204,7 @@ def verify_block(
     nodes: np.ndarray, weights: np.ndarray, blocks: np.ndarray, sets: list[np.ndarray], across: bool, threshold: float,
     fewest: list[int],
 ) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """Links of each node, counted in documents, and spanning links, over the pairs of a block.
+    """Links of each node, counted in documents, and per group of linked nodes a star, over the pairs of a block.
 
     ``across``: only the pairs of nodes of different blocks count.
     """
@@ -206,7 +213,7 @@ def verify_block(
     _, column = np.unique(np.concatenate(sets), return_inverse=True)
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     present = np.zeros(column.max() + 1, np.int32)
-    links, edges, label = np.zeros(len(nodes), np.int64), [], np.arange(len(nodes))
+    links, label = np.zeros(len(nodes), np.int64), np.arange(len(nodes))
     for x in range(len(nodes) - 1):
         others = np.arange(x + 1, len(nodes))
         if across:
@@ -226,9 +233,10 @@ def verify_block(
         links[near] += weights[x]
         for other in np.unique(label[near]):
             if other != label[x]:
-                edges.append((int(nodes[x]), int(nodes[near[label[near] == other][0]])))
                 label[label == other] = label[x]
-    return links, edges
+    least = np.full(len(nodes), LAST, np.int64)
+    np.minimum.at(least, label, nodes)
+    return links, [(int(n), int(m)) for n, m in zip(nodes, least[label], strict=True) if n != m]
 
 
 def _verify(threshold: float):
@@ -280,7 +288,9 @@ def _rank(key: Column) -> Column:
     return F.coalesce(key.cast("long"), F.lit(LAST))
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, tables: Tables | None = None
+) -> DataFrame:
     """One row per document: rank, mark, class_rank, class_mark, copies, links.
 
     (rank, mark) is the document: its key (a null key comes last) and a hash of its
@@ -289,64 +299,74 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     them the ``copies`` - 1 with the same shingles. A document without words has no
     links and is a class of its own.
     """
+    tables = tables or Tables(docs.sparkSession, "jaccard")
     marked = docs.select(_rank(F.col(key)).alias("rank"), whole(F.col(text)).alias("text")).withColumn(
         "mark", F.xxhash64("text")
     )
-    rows = cut(
+    described = tables.put(
         marked.mapInArrow(
             _describe, "rank long, mark long, digest binary, size long, bands array<long>, signature binary"
         )
     )
-    nodes = rows.filter("digest is not null").groupBy("digest").agg(
+    nodes = described.filter("digest is not null").groupBy("digest").agg(
         F.min(F.struct("rank", "mark")).alias("who"), F.count("*").alias("copies"), F.first("size").alias("size"),
         F.first("bands").alias("bands"), F.first("signature").alias("signature"),
     )
-    nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()))
+    nodes = tables.put(nodes.withColumn("node", F.monotonically_increasing_id()))
+    rows = tables.put(described.select("rank", "mark", "digest"))
+    tables.drop(described)
 
     banded = nodes.select("node", F.explode("bands").alias("band"))
     buckets = banded.groupBy("band").agg(
         F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("members"), F.min("node").alias("first")
     ).filter("n > 1")
-    distinct = cut(buckets.groupBy("n", "members", "first").agg(F.min("band").alias("band")).select("band", "n"))
+    distinct = tables.put(buckets.groupBy("n", "members", "first").agg(F.min("band").alias("band")).select("band", "n"))
     members = banded.join(distinct, "band").join(nodes.select("node", "size", "signature"), "node")
     dealt = _cells(members, F.ceil(F.col("n") / BUCKET_ROWS)).select("band", "i", "j", "node", "size", "signature")
     survived = dealt.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(
         _link_buckets(threshold), "a long, b long"
     )
-    clusters = components(survived).withColumnRenamed("root", "cluster")
-
-    placed = cut(clusters.join(nodes.select("node", "who", "copies", "size"), "node"))
-    totals = cut(placed.groupBy("cluster").agg(F.sum("size").alias("total")))
-    placed = placed.join(totals, "cluster").select(
-        "node", "cluster", "copies", "total", F.col("who.rank").alias("rank"), F.col("who.mark").alias("mark")
-    )
-    with_text = lookup(marked, cut(placed), ["rank", "mark"], "inner").select("node", "cluster", "copies", "total", "text")
-    with_text = with_text.mapInArrow(_one_text_each, "node long, cluster long, copies long, total long, text string")
-    dealt = _cells(with_text, F.ceil(F.col("total") / BLOCK_SHINGLES)).select(
+    clusters = components(survived, tables).withColumnRenamed("root", "cluster")
+    tables.drop(distinct)
+    known = tables.put(nodes.select("digest", "node", "who", "copies", "size"))
+    tables.drop(nodes)
+
+    placed = tables.put(clusters.join(known, "node").drop("digest"))
+    needed = F.ceil(F.greatest(F.sum("size") / BLOCK_SHINGLES, F.count("*") / BLOCK_TEXTS)).cast("int")
+    totals = tables.put(placed.groupBy("cluster").agg(needed.alias("blocks")))
+    placed = tables.put(placed.join(totals, "cluster").select(
+        "node", "cluster", "copies", "blocks", F.col("who.rank").alias("rank"), F.col("who.mark").alias("mark")
+    ))
+    with_text = lookup(marked, placed, ["rank", "mark"], "inner").select("node", "cluster", "copies", "blocks", "text")
+    with_text = with_text.mapInArrow(_one_text_each, "node long, cluster long, copies long, blocks int, text string")
+    dealt = _cells(with_text, F.col("blocks")).select(
         "cluster", "i", "j", "block", "node", "copies", "text"
     )
-    verified = cut(
+    verified = tables.put(
         dealt.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(
             _verify(threshold), "node long, other long, links long"
         )
     )
     links = verified.filter("other is null").groupBy("node").agg(F.sum("links").alias("links"))
-    classes = components(verified.filter("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
+    classes = components(
+        verified.filter("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")), tables
+    )
 
-    grouped = cut(
-        nodes.select("digest", "node", "who", "copies")
-        .join(classes, "node", "left")
+    grouped = tables.put(
+        known.join(classes, "node", "left")
         .join(links, "node", "left")
         .withColumn("root", F.coalesce("root", "node"))
     )
-    heads = cut(grouped.groupBy("root").agg(F.min("who").alias("head")))
-    named = cut(
+    heads = tables.put(grouped.groupBy("root").agg(F.min("who").alias("head")))
+    named = tables.put(
         grouped.join(heads, "root").select(
             "digest", "copies", F.col("head.rank").alias("class_rank"), F.col("head.mark").alias("class_mark"),
             (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"),
         )
     )
-    found = rows.filter("digest is not null").select("rank", "mark", "digest").join(named, "digest").drop("digest")
+    # What is left: the rows and what each digest is called.
+    tables.drop(*(t for t, _ in tables.paths if t is not rows and t is not named))
+    found = rows.filter("digest is not null").join(named, "digest").drop("digest")
     alone = rows.filter("digest is null").select(
         "rank", "mark", F.lit(1).cast("long").alias("copies"), F.col("rank").alias("class_rank"),
         F.col("mark").alias("class_mark"), F.lit(0).cast("long").alias("links"),
@@ -370,8 +390,10 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", thres
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The documents, all columns, with one of each class. Rows with equal key and text stay or go together."""
-    gone = near_duplicates(docs, key, text, threshold).filter("rank != class_rank or mark != class_mark")
+    tables = Tables(docs.sparkSession, "jaccard")
+    gone = near_duplicates(docs, key, text, threshold, tables).filter("rank != class_rank or mark != class_mark")
     rank, mark = fresh(docs, "_rank", "_mark")
-    gone = cut(gone.select(F.col("rank").alias(rank), F.col("mark").alias(mark)))
+    gone = tables.put(gone.select(F.col("rank").alias(rank), F.col("mark").alias(mark)))
+    tables.drop(*(t for t, _ in tables.paths if t is not gone))
     marked = docs.withColumns({rank: _rank(F.col(key)), mark: F.xxhash64(whole(F.col(text)))})
     return lookup(marked, gone, [rank, mark], "left_anti").drop(rank, mark)

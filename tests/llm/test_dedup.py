@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from goldseam.llm import components, exact_dedup, jaccard_join, passage_dedup
+from goldseam.llm.common import Tables
 
 TABLE = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -135,6 +136,7 @@ def family(members, words=80, seed=1):
 def test_blocks_lose_no_link(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BUCKET_ROWS", 7)
     monkeypatch.setattr(jaccard_join, "BLOCK_SHINGLES", 500)
+    monkeypatch.setattr(jaccard_join, "BLOCK_TEXTS", 5)
     rows = family(60)
     got = jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert Counter((r.doc_id, r.class_id, r.n_links) for r in got) == brute_links(rows)
@@ -164,7 +166,7 @@ def test_pruning_keeps_pairs_at_the_threshold():
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 200), (300, 200), (7, 7)]
     star = [(1000, i) for i in range(1001, 1050)]
-    got = components.components(spark.createDataFrame(chain + star, "a long, b long"))
+    got = components.components(spark.createDataFrame(chain + star, "a long, b long"), Tables(spark, "test"))
     roots = {r.node: r.root for r in got.collect()}
     assert roots == {**dict.fromkeys(range(41), 0), 100: 100, 200: 100, 300: 100, **dict.fromkeys(range(1000, 1050), 1000)}
 
