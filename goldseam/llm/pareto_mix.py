@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from goldseam.llm.common import cut, fresh, lookup, uniform, whole
+from goldseam.llm.ranges import places
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bins of ranks, looked at in groups of 2 ** STEP_BITS.
@@ -76,12 +77,33 @@ def source_targets(
     )
 
 
-def _measured(docs: DataFrame, key: str, text: str, source: str, seed: int, names: list[str]) -> DataFrame:
-    """Adds skey, size, class (of sizes, by powers of two) and u, a document's random number."""
-    skey, size, kind, u = names
+def _measured(docs: DataFrame, key: str, text: str, source: str, names: list[str]) -> DataFrame:
+    """Adds skey, size, class (of sizes, by powers of two), tie (rows of equal key, source and size) and a text's mark."""
+    skey, size, kind, tie, mark = names
     out = docs.withColumn(size, word_count(F.col(text))).withColumn(skey, source_key(F.col(source)))
     out = out.withColumn(kind, F.when(F.col(size) > 0, F.floor(F.log2(F.col(size)))).otherwise(F.lit(0)).cast("int"))
-    return out.withColumn(u, uniform(F.lit(seed), F.col(key), F.col(skey), F.col(size)))
+    return out.withColumns({tie: F.xxhash64(F.col(key), F.col(skey), F.col(size)), mark: F.xxhash64(F.col(text))})
+
+
+def _tied(measured: DataFrame, tie: str) -> DataFrame:
+    """The ties that more than one row has."""
+    return cut(measured.groupBy(tie).agg(F.count("*").alias("n")).filter("n > 1").select(tie))
+
+
+def _drawn(rows: DataFrame, ties: DataFrame, tie: str, mark: str, u: str, seed: int) -> DataFrame:
+    """Adds u, a row's random number; rows that tie are numbered by their texts' marks first.
+
+    The numbers of a tie are the same in every run. Rows that also agree in their text are
+    interchangeable.
+    """
+    def draw(nth: Column) -> Column:
+        return uniform(F.lit(seed), F.col(tie), nth)
+
+    if ties.isEmpty():
+        return rows.withColumn(u, draw(F.lit(0).cast("long")))
+    once = lookup(rows, ties, [tie], "left_anti").withColumn(u, draw(F.lit(0).cast("long")))
+    many = places(cut(lookup(rows, ties, [tie], "left_semi")), tie, [mark])
+    return once.unionByName(many.withColumn(u, draw(F.col("at"))).drop("at", "n"))
 
 
 def _rank(u: Column, p: Column) -> Column:
@@ -172,18 +194,16 @@ def mixed_sizes(
     """One row per document: key, size and source_size (words), target (of its source), copies, taken (words).
 
     A null text has no words; a null source is a source of its own; a null key is a
-    value like others. Rows with the same key, source and size share a random
-    number and are taken or left together. No rows in, none out. Other columns are
-    not read.
+    value like others. Rows with the same key, source and size are numbered and drawn
+    one by one, so that any number of repeated rows comes as near to the target. No rows
+    in, none out. Other columns are not read.
     """
     narrow = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(source).alias("source"))
-    measured = cut(
-        _measured(narrow, "key", "text", "source", seed, ["skey", "size", "kind", "u"]).select(
-            "key", "skey", "size", "kind", "u"
-        )
-    )
-    plan = mixing_plan(measured, shares, amount, ceiling)
-    out = lookup(measured, plan, ["skey", "kind"]).withColumn("copies", _copies("u", "size"))
+    names = ["skey", "size", "kind", "tie", "mark"]
+    measured = cut(_measured(narrow, "key", "text", "source", names).select("key", *names))
+    drawn = _drawn(measured, _tied(measured, "tie"), "tie", "mark", "u", seed)
+    plan = mixing_plan(drawn, shares, amount, ceiling)
+    out = lookup(drawn, plan, ["skey", "kind"]).withColumn("copies", _copies("u", "size"))
     return out.select(
         F.col("key").alias(key), "size", F.col("source_size").cast("long").alias("source_size"), "target", "copies",
         (F.col("copies") * F.col("size")).alias("taken"),
@@ -194,21 +214,15 @@ def mix(
     docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source",
     shares: tuple[float, ...] = _SHARES, amount: float = _AMOUNT, ceiling: float = _CEILING, seed: int = _SEED,
 ) -> DataFrame:
-    """The documents, all columns, each as often as :func:`mixed_sizes` says. Texts are not shuffled."""
-    names = fresh(docs, "_skey", "_size", "_kind", "_u")
-    marked = _measured(docs, key, text, source, seed, names)
-    skey, size, kind, u = names
-    narrow = cut(marked.select(*(F.col(n).alias(n.strip("_")) for n in names)))
-    plan = mixing_plan(narrow, shares, amount, ceiling)
-    kept = fresh(docs, *(f"_plan_{c}" for c in plan.columns))
-    renamed = plan.toDF(*kept)
-    by = dict(zip(plan.columns, kept, strict=True))
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    row = fresh(docs, "_docs")[0]
-    joined = lookup(
-        marked.select(F.struct(*columns).alias(row), F.col(skey).alias("skey"), F.col(kind).alias("kind"),
-                      F.col(size).alias("size"), F.col(u).alias("u")),
-        renamed.withColumnsRenamed({v: k for k, v in by.items()}), ["skey", "kind"],
+    """The documents, all columns, each as often as :func:`mixed_sizes` says. Only texts of rows that tie are shuffled."""
+    row, *names = fresh(docs, "_docs", "_skey", "_size", "_kind", "_tie", "_mark")
+    plain = ["skey", "size", "kind", "tie", "mark"]
+    marked = _measured(docs, key, text, source, names).select(
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias(row), *(F.col(n).alias(p) for n, p in zip(names, plain, strict=True))
     )
+    narrow = cut(marked.select(*plain))
+    ties = _tied(narrow, "tie")
+    plan = mixing_plan(_drawn(narrow, ties, "tie", "mark", "u", seed), shares, amount, ceiling)
+    joined = lookup(_drawn(marked, ties, "tie", "mark", "u", seed), plan, ["skey", "kind"])
     times = joined.select(row, _copies("u", "size").alias("times")).filter("times > 0")
     return times.select(row, F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select(f"{row}.*")

@@ -76,6 +76,69 @@ def test_inclusion_follows_the_stated_chances(spark):
     assert seen[2] > seen[16] > 0
 
 
+def test_ties_are_taken_one_by_one(spark):
+    """A third of all rows tie: no key, one size, one source; the texts are of two kinds."""
+    tied = [(None, f"{'w' if i % 2 else 'v'} " * 10, "a") for i in range(600)]
+    others = [(i, "w " * (1 + i % 37), "b" if i % 3 else None) for i in range(1_200)]
+    docs = spark.createDataFrame(tied + others, "doc_id long, text string, source string").repartition(4)
+    for shares in ((5, 2, 1), (5, 20, 20), (1, 3, 2)):
+        got = pareto_mix.mixed_sizes(docs, shares=shares).collect()
+        mine = [r for r in got if r.source_size == 6_000 and r["size"] == 10]
+        assert len(mine) >= 600 and abs(sum(r.taken for r in mine) - mine[0].target) <= 10
+    one, two = (Counter(tuple(r) for r in pareto_mix.mix(d, shares=(1, 3, 2)).collect()) for d in (docs, docs.repartition(7)))
+    assert one == two
+    taken = Counter(r.doc_id for r in pareto_mix.mix(docs, shares=(1, 3, 2)).collect())
+    want = Counter()
+    for r in got:
+        want[r.doc_id] += r.copies
+    assert taken == +want
+
+
+def test_selection_equals_brute_force(spark, sample):
+    """Whole copies, then Pareto ranks of the rest until the next would pass, then the document nearest to the gap."""
+    import math
+
+    from pyspark.sql import functions as F
+
+    from goldseam.llm.common import uniform
+
+    tie = F.xxhash64("doc_id", pareto_mix.source_key(F.col("source")), pareto_mix.word_count(F.col("text")))
+    drawn = sample.withColumn("u", uniform(F.lit(3), tie, F.lit(0).cast("long"))).collect()
+    sources = defaultdict(list)
+    for r in drawn:
+        sources[r.source].append((r.doc_id, count_words(r.text), r.u))
+    targets = brute_targets({s: sum(n for _, n, _ in rows) for s, rows in sources.items()})
+    want = {}
+    for s, rows in sources.items():
+        total = sum(n for _, n, _ in rows)
+        whole = int(targets[s] // total)
+        need = targets[s] - whole * total
+        kind = lambda n: int(math.log2(n)) if n else 0
+        low, high = 0.0, 1e6
+        for _ in range(200):
+            level = (low + high) / 2
+            words = sum(min(1.0, level / (2 + kind(n))) * n for _, n, _ in rows)
+            low, high = (low, level) if words >= need else (level, high)
+        ranked = []
+        for i, n, u in rows:
+            want[i] = whole
+            p = min(1.0, high / (2 + kind(n)))
+            if n and p > 0 and need > 0:
+                ranked.append((u * (1 - p) / (u * (1 - p) + p * (1 - u)), i, n))
+        ranked.sort()
+        so_far, at = 0, 0
+        while at < len(ranked) and so_far + ranked[at][2] <= need:
+            so_far += ranked[at][2]
+            want[ranked[at][1]] += 1
+            at += 1
+        gap = need - so_far
+        nearest = min(((abs(n - gap), rank, i) for rank, i, n in ranked[at:]), default=(gap,))
+        if nearest[0] < gap:
+            want[nearest[2]] += 1
+    got = pareto_mix.mixed_sizes(sample, seed=3).collect()
+    assert {r.doc_id: r.copies for r in got} == want
+
+
 @pytest.mark.parametrize("name", ["odd", "sample", "none"])
 def test_mix_repeats_rows(request, name):
     docs = request.getfixturevalue(name)
