@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from goldseam.llm import exact_dedup, jaccard_join, packing, pareto_mix, rule_quality
-from goldseam.llm.common import load
+from goldseam.llm.common import load, remove
 from goldseam.llm.queries import tokenizer_file
 from goldseam.session import scratch_path
 
@@ -48,10 +48,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what a stage returns is written and read again by the next."""
-    docs = load(spark, sf_dir, "documents")
+    """All stages over documents; what a stage returns is written, read again by the next, and dropped when that is written."""
+    docs, before = load(spark, sf_dir, "documents"), None
     for number, (_, stage) in enumerate(STAGES):
         path = scratch_path(spark, f"pipeline-{number}")
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if before:
+            remove(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
