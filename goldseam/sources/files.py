@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from goldseam.operators.flatten import MATCH_DOCUMENT, SQUAD_ROW
 from goldseam.operators.infer import retype
+from goldseam.sources.records import spanning_records
 
 _CSV = {"header": "true", "quote": '"', "escape": '"', "encoding": "UTF-8", "mode": "PERMISSIVE"}
 
@@ -49,20 +50,21 @@ def read_csv_text(
 ) -> DataFrame:
     """Columns as text, found by their name in the header of their own file; one that a file lacks is null.
 
-    Files are read in groups of one header each. Files whose records span lines cannot
-    be cut into several tasks; all others can, and stay apart. A column named by
+    Files are read in groups of one header each, all of them by many tasks. Those whose
+    records span lines have them put together first (:mod:`goldseam.sources.records`);
+    ``multi_line`` says so of all files, or of none, without looking. A column named by
     ``surplus`` holds the first value beyond the header of a row that has more.
     """
     parts = []
     for files, spans in csv_layouts(spark, path, multi_line):
-        reader = spark.read.options(**_CSV, multiLine=str(spans).lower())
-        names = reader.csv(files).columns
-        if surplus is not None:
-            # By place, as the header has no name for it; all files of the group share the header.
-            schema = T.StructType([T.StructField(c, T.StringType()) for c in [*names, surplus]])
-            parts.append(reader.schema(schema).csv(files))
+        names = spark.read.options(**_CSV, multiLine=str(spans).lower()).csv(files).columns
+        # By place, as the header has no name for it; all files of the group share the header.
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in [*names, *([surplus] if surplus else [])]])
+        if spans:
+            parsed = F.from_csv("record", _ddl(schema), {k: v for k, v in _CSV.items() if k != "header"})
+            parts.append(spanning_records(spark, files).filter("not head").select(parsed.alias("r")).select("r.*"))
         else:
-            parts.append(reader.csv(files))
+            parts.append(spark.read.options(**_CSV).schema(schema).csv(files))
     if not parts:
         raise ValueError(f"CSV has no header: {path}")
     df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
@@ -73,6 +75,10 @@ def read_csv_text(
     return df.select(*[(F.col(f"`{c}`") if c in df.columns else missing).alias(c) for c in wanted])
 
 
+def _ddl(schema: T.StructType) -> str:
+    return ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in schema.fields)
+
+
 def read_csv_typed(spark: SparkSession, path: str, types: dict[str, str], multi_line: bool | None = None) -> DataFrame:
     """Every value coerced to its type; a value that does not parse is null."""
     return retype(read_csv_text(spark, path, list(types), multi_line), types)

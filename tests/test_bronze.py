@@ -143,7 +143,7 @@ def test_csv_records_over_several_lines(spark, tmp_path):
     assert not has_spanning_records(spark, plain)
     assert has_spanning_records(spark, spanning)
     assert [tuple(r) for r in read_csv_text(spark, plain).collect()] == [("1", 'x "y"')]
-    assert [tuple(r) for r in read_csv_text(spark, spanning).collect()] == [("1", "x\ny"), ("2", "z")]
+    assert sorted(tuple(r) for r in read_csv_text(spark, spanning).collect()) == [("1", "x\ny"), ("2", "z")]
 
 
 def test_schema_drift(spark, lake):
