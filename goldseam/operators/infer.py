@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from goldseam.functions.coerce import BOOLEAN_WORDS, coerce, parse_double, strip
+from goldseam.operators.sample import bottom_rows
 
 
 #: From here on a whole number may not fit in 64 bits, and up to 38 digits it fits in a wide one.
@@ -33,10 +34,10 @@ def inspect_columns(
     """``(column_name, inferred_type, null_rate)`` of text columns.
 
     One scan and one row per column and task shuffled. All rows are looked at;
-    ``sample_rows`` looks at the first ones of a file only. Values of ``decided`` columns
+    ``sample_rows`` looks at so many only, the same in every run (:func:`bottom_rows`). Values of ``decided`` columns
     are not parsed: their type is given as text, for a naming rule to replace.
     """
-    rows = df if sample_rows is None else df.limit(sample_rows)
+    rows = df if sample_rows is None else bottom_rows(df, sample_rows)
     texts = rows.select(*[F.nullif(strip(F.col(f"`{c}`")), F.lit("")).alias(c) for c in df.columns])
     # One long column keeps the compiled code small however wide the table is.
     long = texts.unpivot([], [f"`{c}`" for c in df.columns], "column_name", "text")

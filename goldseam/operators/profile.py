@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from goldseam.functions.casts import ratio
 from goldseam.functions.coerce import parse_double, strip
+from goldseam.operators.sample import bottom_rows
 from goldseam.spec import NULLABLE_THRESHOLD
 
 # Thresholds of the reference.
@@ -101,9 +102,10 @@ def numeric_kinds(schema: T.StructType) -> dict[str, str]:
 def profile_columns(df: DataFrame, types: dict[str, str], sample_rows: int | None = None) -> DataFrame:
     """One row of facts per column of ``types``.
 
-    Values are compared as trimmed text, so ``1`` and ``1.0`` are two values.
+    Values are compared as trimmed text, so ``1`` and ``1.0`` are two values. With
+    ``sample_rows``, only so many rows count, the same in every run.
     """
-    rows = df if sample_rows is None else df.limit(sample_rows)
+    rows = df if sample_rows is None else bottom_rows(df, sample_rows)
     counts = value_counts(rows, list(types))
     present = F.col("value").isNotNull()
     # Text is parsed after the counting: once per distinct value, not per row.

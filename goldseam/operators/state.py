@@ -31,6 +31,34 @@ def upsert(current: DataFrame, updates: DataFrame, key: str, version: Column) ->
     )
 
 
+def latest(updates: DataFrame, keys: list[str], version: Column) -> DataFrame:
+    """One row per key, that with the highest version; tasks keep one of each before the shuffle."""
+    row = F.struct(*updates.columns)
+    return updates.groupBy(*keys).agg(F.max_by(row, version).alias("_row")).select("_row.*")
+
+
+def merge_in_buckets(current: DataFrame, updates: DataFrame, columns: list[str], keys: list[str], bucket: str) -> DataFrame:
+    """The rows of some buckets with the updates put in, and ``_change``: inserted, updated, deleted or kept.
+
+    Both sides have the keys' bucket and ``updates`` one row per key and ``_gone``. Rows
+    are dealt by bucket, once: grouping by (bucket, key) and writing by bucket then need no
+    other shuffle.
+    """
+    rows = [bucket, *keys]
+    tagged = current.select(*rows, F.struct(*columns).alias("_old"), F.lit(None).alias("_new"), F.lit(False).alias("_gone"))
+    fresh = updates.select(*rows, F.lit(None).alias("_old"), F.struct(*columns).alias("_new"), "_gone")
+    met = tagged.unionByName(fresh).repartition(bucket).groupBy(*rows).agg(
+        F.first("_old", ignorenulls=True).alias("_old"), F.first("_new", ignorenulls=True).alias("_new"),
+        F.bool_or("_gone").alias("_gone"),
+    )
+    old, new = F.col("_old").isNotNull(), F.col("_new").isNotNull()
+    change = F.when(F.col("_gone"), F.when(old, "deleted")).when(new & old, "updated").when(new, "inserted").otherwise("kept")
+    row = F.coalesce("_new", "_old")
+    return met.withColumn("_change", change).filter("_change is not null").select(
+        *(row[c].alias(c) for c in columns), bucket, "_change"
+    )
+
+
 def absent_seeds(seeds: DataFrame, table: DataFrame, key: str) -> DataFrame:
     """Seed rows whose key the table lacks."""
     return seeds.join(table.select(key), key, "left_anti")

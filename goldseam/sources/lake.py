@@ -7,6 +7,7 @@ and a table can be rewritten from its own rows.
 
 from __future__ import annotations
 
+import datetime as dt
 import time
 import uuid
 
@@ -17,7 +18,7 @@ from pyspark.sql import types as T
 from goldseam.functions.text import row_hash
 from goldseam.operators.governance import within_retention
 from goldseam.operators.split import REASON, dead_letters
-from goldseam.operators.state import WATERMARK_SCHEMA, absent_seeds, upsert
+from goldseam.operators.state import WATERMARK_SCHEMA, absent_seeds, latest, merge_in_buckets, upsert
 from goldseam.spec import AUDIT_COLUMNS, DEAD_LETTER_TABLE, LAYERS, RETENTION_DAYS, WATERMARK_TABLE, column_name
 
 AUDIT_SCHEMA = "_ingested_at timestamp_ntz, _source_name string, _pipeline_run_id string"
@@ -26,6 +27,9 @@ DEAD_LETTER_SCHEMA = (
     "_error_type string, _error_detail string, _raw_payload variant"
 )
 VALID = "_row_valid"
+#: Partition columns of tables that are merged by key, and of tables that expire by day.
+BUCKET, DAY = "_bucket", "_ingested_on"
+_KEYS, _BUCKETS = "goldseam.keys", "goldseam.buckets"
 
 
 class SchemaDriftError(Exception):
@@ -183,6 +187,107 @@ class Lake:
         counted.write.insertInto(self.name(table, layer))
         return seen.get["n"]
 
+    def ensure_buckets(self, table: str, schema: T.StructType | str, keys: list[str], buckets: int, layer: str = "silver") -> None:
+        """Create a table whose rows are found by ``keys``: each lies in the bucket that its keys' hash names.
+
+        A merge rewrites whole buckets, so there should be so many that one is a few hundred MB.
+        """
+        if isinstance(schema, str):
+            schema = T.StructType.fromDDL(schema)
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+        unknown = [k for k in keys if k not in schema.fieldNames()]
+        if unknown or buckets < 1:
+            raise ValueError(f"{table}: keys {unknown} are no columns, or no buckets ({buckets})")
+        self.spark.sql(
+            f"CREATE TABLE IF NOT EXISTS {self.name(table, layer)} ({columns}, {BUCKET} int) USING parquet "
+            f"PARTITIONED BY ({BUCKET}) LOCATION '{self._new_folder(table, layer)}' "
+            f"TBLPROPERTIES ({_quoted(_KEYS)} = {_quoted(','.join(keys))}, {_quoted(_BUCKETS)} = '{buckets}')"
+        )
+
+    def _properties(self, table: str, layer: str) -> dict[str, str]:
+        rows = self.spark.sql(f"SHOW TBLPROPERTIES {self.name(table, layer)}").collect()
+        return {r["key"]: r["value"] for r in rows}
+
+    def merge(
+        self, updates: DataFrame, table: str, version: Column, layer: str = "silver", deleted: Column | None = None
+    ) -> dict[str, int]:
+        """Insert, replace or delete rows of a bucketed table by key; returns how many of each, and the buckets written.
+
+        Of several updates of a key the one with the highest ``version`` counts; rows for
+        which ``deleted`` holds take the row of their key away. Only buckets that an update
+        falls into are read and written, into a new folder; then these buckets are pointed
+        at it. So a reader of a bucket sees all of a merge or nothing, one that fails before
+        leaves the table as it was, and a merge that is repeated gives the same table.
+        """
+        properties = self._properties(table, layer)
+        keys, buckets = properties[_KEYS].split(","), int(properties[_BUCKETS])
+        columns = [c for c in self.read(table, layer).columns if c != BUCKET]
+        bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+        gone = F.lit(False) if deleted is None else F.coalesce(deleted, F.lit(False))
+        # One row per key, written once: read for the list of buckets and for the merge.
+        staged = f"{self._new_folder(table, layer)}-updates"
+        latest(updates.withColumn("_gone", gone), keys, version).withColumn(BUCKET, bucket).write.parquet(staged)
+        fresh = self.spark.read.parquet(staged)
+        touched = sorted(r[0] for r in fresh.select(BUCKET).distinct().collect())
+        counts = {"inserted": 0, "updated": 0, "deleted": 0, "buckets": len(touched)}
+        if touched:
+            current = self.read(table, layer).filter(F.col(BUCKET).isin(touched))
+            merged = merge_in_buckets(current, fresh, columns, keys, BUCKET)
+            folder, seen = self._new_folder(table, layer), Observation()
+            tallies = [F.count_if(F.col("_change") == c).alias(c) for c in ("inserted", "updated", "deleted")]
+            kept = merged.observe(seen, *tallies).filter("_change != 'deleted'").drop("_change")
+            kept.write.partitionBy(BUCKET).parquet(folder)
+            counts |= seen.get
+            self._point_buckets(table, layer, touched, folder)
+        return counts
+
+    def _point_buckets(self, table: str, layer: str, touched: list[int], folder: str) -> None:
+        """Make a folder's buckets those of the table; one that has no rows any more is an empty folder."""
+        name = self.name(table, layer)
+        known = {r[0] for r in self.spark.sql(f"SHOW PARTITIONS {name}").collect()}
+        for at in touched:
+            part, place = f"PARTITION ({BUCKET} = {at})", _quoted(f"{folder}/{BUCKET}={at}")
+            if f"{BUCKET}={at}" in known:
+                self.spark.sql(f"ALTER TABLE {name} {part} SET LOCATION {place}")
+            else:
+                self.spark.sql(f"ALTER TABLE {name} ADD {part} LOCATION {place}")
+        self.spark.catalog.refreshTable(name)
+
+    def ensure_daily(self, table: str, schema: T.StructType | str, audit: bool = True, layer: str = "bronze") -> None:
+        """Create a table laid out by the day of load, so that days can expire. Its files belong to the catalog."""
+        if isinstance(schema, str):
+            schema = T.StructType.fromDDL(schema)
+        fields = [T.StructField(column_name(f.name), f.dataType) for f in schema.fields]
+        if audit:
+            fields += T.StructType.fromDDL(AUDIT_SCHEMA).fields
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+        self.spark.sql(
+            f"CREATE TABLE IF NOT EXISTS {self.name(table, layer)} ({columns}, {DAY} date) USING parquet PARTITIONED BY ({DAY})"
+        )
+
+    def append_daily(self, df: DataFrame, table: str, layer: str = "bronze", column: str = AUDIT_COLUMNS[0]) -> int:
+        """Add rows below the day of ``column``; those without a time lie in a part of their own and never expire."""
+        seen = Observation()
+        rows = self._aligned(df.withColumn(DAY, F.to_date(column)), table, layer)
+        # Rows of a day meet in few files, and a day with most of them is spread.
+        dealt = rows.observe(seen, F.count(F.lit(1)).alias("n")).hint("rebalance", F.col(DAY))
+        dealt.write.insertInto(self.name(table, layer))
+        return seen.get["n"]
+
+    def expire_days(self, table: str, as_of: dt.date, days: int = RETENTION_DAYS, layer: str = "bronze") -> list[dt.date]:
+        """Drop the days that lie wholly past their retention, and their files; no data is read or rewritten.
+
+        Returns the days dropped. The day on which the retention ends stays until all of it is past.
+        """
+        name, bound = self.name(table, layer), as_of - dt.timedelta(days=days)
+        found = [r[0].split("=", 1)[1] for r in self.spark.sql(f"SHOW PARTITIONS {name}").collect()]
+        past = sorted(d for d in found if d != "__HIVE_DEFAULT_PARTITION__" and dt.date.fromisoformat(d) < bound)
+        if past:
+            parts = ", ".join(f"PARTITION ({DAY} = DATE '{d}')" for d in past)
+            self.spark.sql(f"ALTER TABLE {name} DROP IF EXISTS {parts} PURGE")
+            self.spark.catalog.refreshTable(name)
+        return [dt.date.fromisoformat(d) for d in past]
+
     def append_dead_letters(
         self, dead: DataFrame, source: str, run_id: str, at: Column, required: list[str] | None = None
     ) -> int:
