@@ -28,6 +28,7 @@ from goldseam.operators.quality import (
 )
 from goldseam.plans.ask import GOLDEN
 from goldseam.plans.gold import mart_goal_analytics, mart_squad_profile, mart_team_performance
+from goldseam.plans.graph import Model, ModelGraph
 from goldseam.plans.silver import LOADED_AT, MODELS, stage, stage_generic
 from goldseam.sources.lake import Lake
 
@@ -86,13 +87,34 @@ def stage_with_tests(bronze: DataFrame, model: str, table: str, optional: list[s
     return StagedModel(staged, run_expectations(staged, model, tests), dictionary_entries(facts, model, table))
 
 
+def staging_models() -> list[Model]:
+    """A staging model per Bronze table."""
+    def staged(model: str, table: str) -> Model:
+        return Model(model, (table,), lambda inputs: stage(inputs[table], model), "silver", "view")
+
+    return [staged(model, table) for model, table in BRONZE_TABLES.items()]
+
+
+def mart_models(as_of: Column) -> list[Model]:
+    """The marts over the staging models."""
+    results, goals, players, teams = (
+        "stg_historical_results", "stg_historical_goals", "stg_player_profiles", "stg_national_teams"
+    )
+    return [
+        Model("mart_team_performance", (results,), lambda i: mart_team_performance(i[results]), "gold"),
+        Model("mart_goal_analytics", (goals,), lambda i: mart_goal_analytics(i[goals]), "gold"),
+        Model("mart_squad_profile", (players, teams), lambda i: mart_squad_profile(i[players], i[teams], as_of), "gold"),
+    ]
+
+
+def layers(as_of: Column) -> ModelGraph:
+    """All models. ``layers(as_of).build(lake, ["RAW_HISTORICAL_GOALS"])`` builds again what that table's change reaches."""
+    return ModelGraph([*staging_models(), *mart_models(as_of)])
+
+
 def silver(lake: Lake) -> dict[str, DataFrame]:
     """The staging models whose Bronze table exists, each as a table of the layer."""
-    models = {}
-    for model, table in BRONZE_TABLES.items():
-        if lake.exists(table):
-            models[model] = lake.materialise(stage(lake.read(table), model), model, "silver", "view")
-    return models
+    return ModelGraph(staging_models()).build(lake)
 
 
 def declared_tests(model: str) -> list[Expectation]:
@@ -116,12 +138,8 @@ def negative_scores(models: dict[str, DataFrame]) -> DataFrame:
 
 def gold(lake: Lake, models: dict[str, DataFrame], as_of: Column) -> dict[str, DataFrame]:
     """The marts as tables, built from the staging models."""
-    marts = {
-        "mart_team_performance": mart_team_performance(models["stg_historical_results"]),
-        "mart_goal_analytics": mart_goal_analytics(models["stg_historical_goals"]),
-        "mart_squad_profile": mart_squad_profile(models["stg_player_profiles"], models["stg_national_teams"], as_of),
-    }
-    return {name: lake.materialise(df, name, "gold") for name, df in marts.items()}
+    marts = mart_models(as_of)
+    return {m.name: lake.materialise(m.compute(models), m.name, m.layer) for m in marts}
 
 
 def golden_answers(marts: dict[str, DataFrame]) -> dict[str, DataFrame]:
