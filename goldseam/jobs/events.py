@@ -202,6 +202,24 @@ def src_json_nested(spark, sf_dir):
     )
 
 
+def src_json_array(spark, sf_dir):
+    """The documents as files of one array each, without line breaks at document ends, cut into documents by many tasks."""
+    path = scratch_path(spark, "json")
+    docs = documents(adapt.table(spark, sf_dir, "events").withColumn("event_type", F.concat("event_type", F.lit('} "\\ ]'))))
+    part = F.col("event_id") % 3
+    lines = docs.select(part.alias("part"), F.col("event_id").alias("at"), F.concat(F.lit(","), F.to_json(F.struct("matches"))).alias("value"))
+    ends = docs.select(part.alias("part")).distinct().select("part", F.inline(F.array(
+        F.struct(F.lit(-1).cast("long").alias("at"), F.lit("[null").alias("value")),
+        F.struct(F.lit(2**62).alias("at"), F.lit("]").alias("value")),
+    )))
+    lines = lines.unionByName(ends).repartition("part").sortWithinPartitions("part", "at").select("part", "value")
+    lines.write.partitionBy("part").option("lineSep", " ").text(path)
+    read = read_match_documents(spark, path, cut=True)
+    return flatten_parents(read).groupBy("match_date", "team1_name", "ground").agg(
+        F.count("*").alias("n_matches"), F.sum("score_ft_team1").alias("ft1"), F.sum("score_ft_team2").alias("ft2")
+    )
+
+
 def infer_json(spark, sf_dir):
     """Types of the fields of JSON lines; odd rows hold other types or nulls."""
     events = adapt.table(spark, sf_dir, "events")
@@ -302,6 +320,7 @@ QUERIES = {
     "coerce_wide_int": wide_integers,
     "dead_letter_sink": dead_letter_sink,
     "src_json_nested": src_json_nested,
+    "src_json_array": src_json_array,
     "infer_json": infer_json,
     "incremental_load": incremental_load,
     "incremental_late": incremental_late,
@@ -369,6 +388,13 @@ ORACLE = {
             as error_detail, event_id, event_type
         from events where event_id % 50 = 0 or user_id % 7 = 0 union all
         select null, null, null, null, event_id, event_type from events where event_id % 50 <> 0 and user_id % 7 <> 0""",
+    "src_json_array": r"""with docs as (
+          select strftime(ts, '%Y-%m-%d') as match_date, cast(json_extract_string(props, '$.k') as int) as k,
+            event_id % 2 = 0 as even, event_type || '} "\ ]' as ground from events)
+        select match_date, 'Alpha' as team1_name, ground, count(*) as n_matches, cast(sum(k % 5) as bigint) as ft1,
+          cast(sum(k % 3) as bigint) as ft2 from docs group by match_date, ground
+        union all select match_date, 'Gamma', ground, count(*), cast(sum(case when even then k % 5 end) as bigint),
+          cast(sum(case when even then k % 3 end) as bigint) from docs group by match_date, ground""",
     "src_json_nested": with_inputs(
         """select cast(match_num as bigint) as match_num, strftime(ts, '%Y-%m-%d') as match_date,
              team1 as team1_name, team2 as team2_name, scoring_team, count(*) as n_matches,

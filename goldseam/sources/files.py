@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from goldseam.operators.flatten import MATCH_DOCUMENT, SQUAD_ROW
 from goldseam.operators.infer import retype
-from goldseam.sources.records import spanning_records
+from goldseam.sources.records import json_documents, spanning_records
 
 _CSV = {"header": "true", "quote": '"', "escape": '"', "encoding": "UTF-8", "mode": "PERMISSIVE"}
 
@@ -84,16 +84,43 @@ def read_csv_typed(spark: SparkSession, path: str, types: dict[str, str], multi_
     return retype(read_csv_text(spark, path, list(types), multi_line), types)
 
 
-def read_match_documents(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+#: Multi-line JSON files of more bytes than this are cut into documents by many tasks; smaller ones are a task each.
+LARGE_DOCUMENT_FILE = 128 << 20
+
+
+def _cut(spark: SparkSession, path: str, cut: bool | None) -> bool:
+    """Whether to cut files into documents: as asked for, or if any is large. Lengths come from the listing, no file is read."""
+    if cut is not None:
+        return cut
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("length")
+    return not files.filter(F.col("length") > LARGE_DOCUMENT_FILE).limit(1).isEmpty()
+
+
+def _json_rows(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool, cut: bool | None) -> DataFrame:
+    if multi_line and _cut(spark, path, cut):
+        return json_documents(spark, path).select(F.from_json("document", schema).alias("d")).select("d.*")
+    return spark.read.schema(schema).option("multiLine", str(multi_line).lower()).json(path)
+
+
+def read_match_documents(spark: SparkSession, path: str, multi_line: bool = True, cut: bool | None = None) -> DataFrame:
     """One row per match document; with ``multi_line`` off, one document per line.
 
-    A landing folder of many files, or of line documents, is read in parallel.
+    A file may hold one document or an array of them. Large multi-line files are cut into
+    documents by many tasks (``cut`` says so of all files, or of none); the rows are the same.
     """
-    return spark.read.schema(MATCH_DOCUMENT).option("multiLine", str(multi_line).lower()).json(path)
+    return _json_rows(spark, path, MATCH_DOCUMENT, multi_line, cut)
+
 
+def read_variant_documents(
+    spark: SparkSession, path: str, name: str = "doc", multi_line: bool = True, cut: bool = False
+) -> DataFrame:
+    """One VARIANT per file (or line), which keeps JSON nulls and unknown fields.
 
-def read_variant_documents(spark: SparkSession, path: str, name: str = "doc", multi_line: bool = True) -> DataFrame:
-    """One VARIANT per document, which keeps JSON nulls and unknown fields."""
+    With ``cut``, one per document: the objects of a file's array are rows of their own,
+    and a file of any size is read by many tasks.
+    """
+    if multi_line and cut:
+        return json_documents(spark, path).select(F.try_parse_json("document").alias(name))
     return (
         spark.read.schema(f"{name} variant")
         .option("singleVariantColumn", name)
@@ -102,6 +129,6 @@ def read_variant_documents(spark: SparkSession, path: str, name: str = "doc", mu
     )
 
 
-def read_squads(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """One row per team of the squad documents."""
-    return spark.read.schema(SQUAD_ROW).option("multiLine", str(multi_line).lower()).json(path)
+def read_squads(spark: SparkSession, path: str, multi_line: bool = True, cut: bool | None = None) -> DataFrame:
+    """One row per team of the squad documents; files are read as by :func:`read_match_documents`."""
+    return _json_rows(spark, path, SQUAD_ROW, multi_line, cut)

@@ -1,4 +1,4 @@
-"""CSV records cut out of large files by many tasks, also where quoted values hold line breaks.
+"""Records and documents cut out of large CSV and JSON files by many tasks, wherever their line breaks are.
 
 Whether a line begins inside a quoted value depends on all lines before it. So each
 line first says what it does to either state: keep it, turn it, or set it. Effects
@@ -123,3 +123,72 @@ def spanning_records(spark: SparkSession, files: list[str]) -> DataFrame:
     records = single.unionByName(joined)
     plain = F.when(F.col("crlf"), F.regexp_replace(F.replace("record", F.lit("\r\n"), F.lit("\n")), "\r$", "")).otherwise(F.col("record"))
     return records.withColumn("record", plain).filter(F.col("record") != "")
+
+
+def _outside(text: Column, inside: bool) -> Column:
+    """What of a piece of JSON, escapes taken out, lies outside of strings."""
+    rest = F.regexp_replace(text, '^[^"]*("|$)', "") if inside else text
+    return F.regexp_replace(rest, '"[^"]*("|$)', "")
+
+
+def _count(text: Column, characters: str) -> Column:
+    return F.length(text) - F.length(F.translate(text, characters, ""))
+
+
+def json_documents(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``(file, document)``: the objects of JSON files, as text; a file holds one, several, or an array of them.
+
+    Files are read in pieces that end at a closing brace, whether or not they have line
+    breaks. A piece says how deep it leads for either state, in a string or not, that it
+    may begin in; the blocks of a file are gone through as for CSV. Where the depth comes
+    back to that of the file's own objects, one ends. Pieces are shuffled once by block and
+    once by document. Values of an array that are no objects are passed over.
+    """
+    at = {"file": F.col("_metadata.file_path"), "block": F.col("_metadata.file_block_start"), "line": F.monotonically_increasing_id()}
+    pieces = spark.read.option("lineSep", "}").text(path).select("value", *(c.alias(n) for n, c in at.items()))
+    # An escape never lies across two pieces, as a brace needs none.
+    plain = F.regexp_replace("value", r"(?s)\\.", "")
+    lead = F.substring(F.regexp_replace("value", r"^[\uFEFF\s]+", ""), 1, 1)
+    pieces = pieces.withColumns(
+        {"odd": (_count(plain, '"') % 2).cast("int"), "lead": F.when(lead != "", lead)}
+        | {f"deeper{s}": _count(_outside(plain, bool(s)), "{[") - _count(_outside(plain, bool(s)), "]") for s in (0, 1)}
+    )
+    order = Window.partitionBy("file", "block").orderBy("line")
+    before, so_far = (order.rowsBetween(Window.unboundedPreceding, end) for end in (-1, Window.currentRow))
+    pieces = pieces.withColumn("turned", F.coalesce(F.bit_xor("odd").over(before), F.lit(0)))
+
+    def step(begins: int) -> Column:
+        """How much deeper a piece with its brace leads, if its block begins in a string (1) or not (0)."""
+        state = F.col("turned").bitwiseXOR(F.lit(begins))
+        closes = F.when(state.bitwiseXOR(F.col("odd")) == 0, 1).otherwise(0)
+        return F.when(state == 0, F.col("deeper0")).otherwise(F.col("deeper1")) - closes
+
+    pieces = pieces.withColumns({f"depth{s}": F.sum(step(s)).over(so_far) for s in (0, 1)})
+    blocks = pieces.groupBy("file", "block").agg(
+        F.bit_xor("odd").alias("odd"), F.min_by("lead", F.when(F.col("lead").isNotNull(), F.col("line"))).alias("lead"),
+        *(F.max_by(f"depth{s}", "line").alias(f"depth{s}") for s in (0, 1)),
+    )
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("begins", F.coalesce(F.bit_xor("odd").over(earlier), F.lit(0)))
+    depth = F.when(F.col("begins") == 0, F.col("depth0")).otherwise(F.col("depth1"))
+    top = F.min_by("lead", F.when(F.col("lead").isNotNull(), F.col("block"))).over(Window.partitionBy("file"))
+    blocks = blocks.select(
+        "file", "block", "begins", F.coalesce(F.sum(depth).over(earlier), F.lit(0)).alias("depth"),
+        F.when(top == "[", 1).otherwise(0).alias("base"),
+    )
+    known = pieces.join(blocks, ["file", "block"])
+    now = F.col("depth") + F.when(F.col("begins") == 0, F.col("depth0")).otherwise(F.col("depth1"))
+    in_string = F.col("begins").bitwiseXOR(F.col("turned")).bitwiseXOR(F.col("odd")) == 1
+    ends = (now == F.col("base")) & ~in_string
+    known = known.withColumn("end", F.when(ends, F.col("line"))).select("file", "block", "line", "value", "end")
+    last = known.groupBy("file", "block").agg(F.max("end").alias("last"))
+    place = F.when(F.col("last").isNotNull(), F.struct(F.col("block").alias("b"), F.col("last").alias("l")))
+    last = last.select("file", "block", F.last(place, ignorenulls=True).over(earlier).alias("carried"))
+    mine = F.when(F.col("end").isNotNull(), F.struct(F.col("block").alias("b"), F.col("end").alias("l")))
+    dealt = known.join(last, ["file", "block"]).select(
+        "file", "block", "line", "value", F.coalesce(F.last(mine, ignorenulls=True).over(before), F.col("carried")).alias("key")
+    )
+    ordered = F.array_sort(F.collect_list(F.struct("block", "line", "value")))
+    joined = dealt.groupBy("file", "key").agg(F.array_join(F.transform(ordered, lambda r: r["value"]), "}").alias("text"))
+    text = F.substring("text", F.greatest(F.instr("text", "{"), F.lit(1)), F.length("text"))
+    return joined.select("file", F.concat(text, F.lit("}")).alias("document")).filter(F.col("document").startswith("{"))

@@ -1,9 +1,11 @@
+import json
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from goldseam.sources import records
+from goldseam.sources import files, records
 from goldseam.sources.files import read_csv_text, read_csv_typed
 
 OPTIONS = {"header": "true", "quote": '"', "escape": '"', "multiLine": "true"}
@@ -104,3 +106,46 @@ def test_effect_of_a_line(spark, line):
     assert (row.o, row.i) == (walk(0), walk(1))
     by_effect = {records.KEEP: (0, 1), records.TURN: (1, 0), records.CLOSE: (0, 0), records.OPEN: (1, 1)}
     assert by_effect[row.e] == (row.o, row.i)
+
+
+def some_value(pick, depth=0):
+    kind = pick.random()
+    if depth < 3 and kind < 0.25:
+        return {f"k{i}": some_value(pick, depth + 1) for i in range(pick.randrange(3))}
+    if depth < 3 and kind < 0.4:
+        return [some_value(pick, depth + 1) for _ in range(pick.randrange(3))]
+    return pick.choice([1, None, True, "x", "}", '{"', "a\\", '\\"}', "[", "]]", "é\n", "", '{"a":1}', "\\\\"])
+
+
+FORMS = {
+    "array": json.dumps,
+    "indented": lambda docs: json.dumps(docs, indent=2) + "\n",
+    "lines": lambda docs: "\n".join(map(json.dumps, docs)),
+    "one": lambda docs: json.dumps(docs[0]),
+    "marked": lambda docs: "\ufeff [\n" + ",\n".join(json.dumps(d, ensure_ascii=False) for d in docs) + "\n]\n",
+    "mixed": lambda docs: json.dumps([None, 1, "}", *docs, 2]),
+}
+
+
+@pytest.mark.parametrize("form", FORMS)
+def test_documents_of_json_files(spark, tmp_path, small_blocks, form):
+    """Files of every form, many blocks each; strings hold braces, brackets, quotes and backslashes."""
+    want = Counter()
+    for seed in range(3):
+        pick = random.Random(f"{form}{seed}")
+        docs = [{"id": i, "v": some_value(pick)} for i in range(25)]
+        (tmp_path / f"{seed}.json").write_text(FORMS[form](docs), encoding="utf-8")
+        want.update(json.dumps(d) for d in (docs[:1] if form == "one" else docs))
+    got = records.json_documents(spark, str(tmp_path)).collect()
+    assert Counter(json.dumps(json.loads(r.document)) for r in got) == want
+
+
+def test_cut_documents_equal_the_multi_line_reader(spark, tmp_path, rows, small_blocks):
+    match = {"date": "2026-06-11", "team1": "A", "team2": "B}", "score": {"ft": [1, 2]}, "goals1": [{"name": "x\"{", "minute": "9"}]}
+    docs = [{"matches": [match, {"team1": str(i)}]} for i in range(20)] + [{"matches": None}, {}]
+    (tmp_path / "docs.json").write_text(json.dumps(docs, indent=1))
+    both = [rows(files.read_match_documents(spark, str(tmp_path), cut=c)) for c in (True, False)]
+    assert both[0] == both[1]
+    variants = files.read_variant_documents(spark, str(tmp_path), cut=True).select(F.to_json("doc").alias("doc")).collect()
+    assert Counter(r.doc for r in variants) == Counter(json.dumps(d, separators=(",", ":"), sort_keys=True) for d in docs)
+    assert not files._cut(spark, str(tmp_path), None)
