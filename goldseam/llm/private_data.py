@@ -1,17 +1,24 @@
 """Personal data: fixed patterns, and a skip-chain conditional random field for what they miss.
 
 Nodes of the field are the tokens with a digit or an "@"; all others are outside.
-Neighbouring nodes are linked, and so are, however far apart, consecutive nodes of
-a document that are the same token or have the same digits, so that a number which
-is a phone in one place is one elsewhere too. Labels are found by loopy
-sum-product message passing over all documents of a batch at once. Token weights
-are a multinomial logistic regression, link weights smoothed log ratios of label
-pairs, both fitted on a bounded sample in which the patterns' spans are the truth.
+Neighbouring nodes are linked, and so are, however far apart, consecutive nodes of a
+document that are the same token, have the same digits, end numbers with the same
+last seven digits, or have the same name before an "@". So "+1 (803) 555-5351" in one
+place makes "803-555-5351" a phone in another. Labels are found by loopy sum-product
+message passing over all documents of a batch at once.
+
+The patterns' spans are the truth to learn from, and each carries the mark that its
+pattern needs. What the field is for are mentions without it. So, for fitting, spans
+of the sample are mentioned again without their marks, beside numbers and names of the
+same form, twice each, that nothing else in the document bears out: the form alone then
+tells nothing, and the links have to. Token weights are a multinomial logistic regression,
+link weights smoothed log ratios of label pairs.
 """
 
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -24,8 +31,10 @@ from pyspark.sql import functions as F
 from goldseam.llm.common import uniform, whole
 
 KINDS = ("email", "ip", "card", "phone")
-#: The field is fitted on the sample's documents with the least hashes, so many at most, up to so many nodes each.
-SAMPLE_DOCS, SAMPLE_NODES = 2_000, 200
+#: The field is fitted on the documents with the least hashes, so many at most. Of a document with more than
+#: SAMPLE_NODES nodes, in whole text, those count whose keys have the least hashes, so that linked nodes stay together;
+#: up to PLANTS of its spans, by hash, are mentioned again.
+SAMPLE_DOCS, SAMPLE_NODES, PLANTS = 2_000, 200, 6
 ROUNDS, CERTAIN = 10, 0.9
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -100,7 +109,7 @@ class Nodes:
 
 
 #: Bits of the shape; the last is always set.
-_SHAPES = 30
+_SHAPES = 31
 
 
 def shape(token: str, before: str, after: str) -> list[int]:
@@ -115,6 +124,7 @@ def shape(token: str, before: str, after: str) -> list[int]:
     ]
     on += [digits == n for n in (1, 2, 3, 4)] + [5 <= digits <= 6, 7 <= digits <= 8, 9 <= digits <= 12, 13 <= digits <= 19, digits > 19]
     on += [length <= 4, 5 <= length <= 8, 9 <= length <= 16, length > 16]
+    on += [13 <= digits <= 19 and luhn("".join(_DIGIT.findall(body)))]
     return [*(int(x) for x in on), *[0] * (_SHAPES - 1 - len(on)), 1]
 
 
@@ -125,37 +135,102 @@ def _consecutive(doc: np.ndarray, keys: list[str]) -> np.ndarray:
     return np.array(pairs, np.int64).reshape(-1, 2)
 
 
+def _name(body: str) -> str:
+    """What stands before an "@", else the token: of at least four characters with a digit or a dot."""
+    name = body.lower().split("@")[0]
+    return name if len(name) >= 4 and ("@" in body or "." in name) else ""
+
+
 def nodes_of(texts: list[str], spans: list[list[Span]], most: int | None = None) -> Nodes:
-    doc, start, end, features, truth, same, digits_of, chain = [], [], [], [], [], [], [], []
+    """The nodes of some texts; ``most`` of each, chosen by the hashes of their keys."""
+    doc, start, end, features, truth, chain = [], [], [], [], [], []
+    keys: list[list[str]] = [[], [], [], []]
     for d, text in enumerate(texts):
         found = [(m.start(), m.end()) for m in _TOKEN.finditer(text)] if "@" in text or _DIGIT.search(text) else []
+        tokens = [text[a:b] for a, b in found]
+        digits = ["".join(_DIGIT.findall(t)) for t in tokens]
+        tails = _tails(found, digits)
+        taken = range(len(found))
+        if most is not None and len(found) > most:
+            taken = sorted(sorted(taken, key=lambda i: (_lot(tails[i] or digits[i] or tokens[i]), i))[:most])
         kinds = sorted((a, b, k + 1) for k, a, b in spans[d])
-        at = 0
-        for i, (a, b) in enumerate(found[:most]):
-            token = text[a:b]
+        at, last = 0, -2
+        for i in taken:
+            (a, b), token = found[i], tokens[i]
             while at < len(kinds) and kinds[at][1] <= a:
                 at += 1
             hit = [k for x, y, k in kinds[at : at + 4] if x < b and a < y]
-            before = text[found[i - 1][0] : found[i - 1][1]] if i and found[i - 1][1] + 1 == a else ""
-            after = text[found[i + 1][0] : found[i + 1][1]] if i + 1 < len(found) and b + 1 == found[i + 1][0] else ""
-            if before:
+            before = tokens[i - 1] if i and found[i - 1][1] + 1 == a else ""
+            after = tokens[i + 1] if i + 1 < len(found) and b + 1 == found[i + 1][0] else ""
+            if before and last == i - 1:
                 chain.append((len(doc) - 1, len(doc)))
-            digits = "".join(_DIGIT.findall(token))
+            last, body = i, token.strip(_EDGES)
             doc.append(d)
             start.append(a)
             end.append(b)
             features.append(shape(token, before, after))
             truth.append(hit[0] if hit else 0)
-            same.append(token.strip(_EDGES).lower())
-            digits_of.append(digits if len(digits) >= 4 else "")
+            for held, key in zip(keys, (body.lower(), digits[i] if len(digits[i]) >= 4 else "", tails[i], _name(body)), strict=True):
+                held.append(key)
     doc_of = np.array(doc, np.int64)
-    skip = np.concatenate([_consecutive(doc_of, same), _consecutive(doc_of, digits_of)])
+    skip = np.concatenate([_consecutive(doc_of, k) for k in keys])
     return Nodes(
         doc_of, np.array(start, np.int64), np.array(end, np.int64), np.array(features, np.float64).reshape(-1, _SHAPES),
         np.array(truth, np.int64), np.array(chain, np.int64).reshape(-1, 2), np.unique(skip, axis=0),
     )
 
 
+def _lot(key: str) -> bytes:
+    return hashlib.sha256(key.encode("utf-8", "surrogatepass")).digest()
+
+
+def _tails(found: list[tuple[int, int]], digits: list[str]) -> list[str]:
+    """For the last token of a run of neighbours, the last seven digits of the run, if it has so many; else ''."""
+    tails, run = [""] * len(found), ""
+    for i, (_, b) in enumerate(found):
+        run = (run + digits[i])[-7:]
+        if i + 1 == len(found) or found[i + 1][0] != b + 1:
+            tails[i], run = run if len(run) == 7 else "", ""
+    return tails
+
+
+def planted(text: str, spans: list[Span]) -> tuple[str, list[Span]]:
+    """The text with some of its spans mentioned again without the patterns' marks, each beside one that is made up.
+
+    Returns the new spans as well; what is made up has none. The same text gives the same.
+    """
+    pick = random.Random(_lot(text))
+    chosen = [s for s in spans if KINDS[s[0]] != "ip"]
+    chosen = sorted(pick.sample(chosen, min(PLANTS, len(chosen))))
+    parts, found, at = [text], [], len(text)
+    for kind, a, b in chosen:
+        body = text[a:b]
+        if KINDS[kind] == "phone":
+            digits = "".join(_DIGIT.findall(body))[-10:]
+            other = "".join(pick.choice("0123456789") for _ in digits)
+            form = pick.randrange(3)
+            true, false = (
+                x if form == 0 else f"{x[:-7]}-{x[-7:-4]}-{x[-4:]}" if form == 1 else f"({x[:-7]}) {x[-7:-4]}-{x[-4:]}"
+                for x in (digits, other)
+            )
+        elif KINDS[kind] == "card":
+            # Behind another number the pattern takes both for one, which is no card.
+            lead, digits = pick.randrange(10, 100), "".join(_DIGIT.findall(body))
+            true, false = f"{lead} {digits}", f"{lead} {digits[:-1]}{(int(digits[-1]) + 1 + pick.randrange(9)) % 10}"
+        else:
+            name, domain = body.split("@")
+            first = domain.split(".")[0]
+            true, false = f"{name}@{first}", f"{''.join(pick.choice('abcdefgh') for _ in range(6))}{pick.randrange(100)}@{first}"
+        # What is made up comes twice: that a form comes again must not bear it out.
+        for mention, known in pick.sample([(true, True), (false, False), (false, False)], 3):
+            parts.append("\nas well " + mention)
+            at += len("\nas well ")
+            if known:
+                found.append((kind, at + (3 if KINDS[kind] == "card" else 0), at + len(mention)))
+            at += len(mention)
+    return "".join(parts), found
+
+
 @dataclass(frozen=True)
 class SkipChainField:
     """Log potentials: of a label given a token's features, and of the labels at both ends of a link."""
@@ -192,24 +267,51 @@ class SkipChainField:
         return belief / belief.sum(axis=1, keepdims=True)
 
 
-def fit_field(texts: list[str]) -> SkipChainField:
-    """Piecewise: the token part by gradient descent with an L2 penalty, each kind of link by counts of label pairs."""
-    nodes = nodes_of(texts, [base_spans(t) for t in texts], SAMPLE_NODES)
+def sample_nodes(text: str) -> Nodes:
+    """The nodes of one sampled text, spans mentioned again included."""
+    base = base_spans(text)
+    longer, more = planted(text, base)
+    return nodes_of([longer], [base + more], SAMPLE_NODES + 4 * PLANTS)
+
+
+def joined_nodes(parts: list[Nodes]) -> Nodes:
+    """Nodes of single documents as those of all."""
+    if not parts:
+        return nodes_of([], [])
+    first = np.cumsum([0, *(len(p.doc) for p in parts)])
+    return Nodes(
+        np.concatenate([np.full(len(p.doc), d) for d, p in enumerate(parts)]),
+        *(np.concatenate([getattr(p, f) for p in parts]) for f in ("start", "end", "features", "truth")),
+        *(np.concatenate([getattr(p, f) + at for p, at in zip(parts, first, strict=False)]) for f in ("chain", "skip")),
+    )
+
+
+def fit_field(nodes: Nodes) -> SkipChainField:
+    """Piecewise: the token part by gradient descent with an L2 penalty, each kind of link by counts of label pairs.
+
+    What no pattern matches but a skip link ties to a match may well be personal data: it
+    is neither taken for such nor for anything else, and left out.
+    """
     labels = len(KINDS) + 1
     weights = np.zeros((_SHAPES, labels))
     weights[-1, 0] = 2.0
-    if len(nodes.doc):
-        goal = np.eye(labels)[nodes.truth]
+    known = np.ones(len(nodes.doc), bool)
+    for one, other in (nodes.skip.T, nodes.skip.T[::-1]):
+        known[one[(nodes.truth[one] == 0) & (nodes.truth[other] > 0)]] = False
+    features, truth = nodes.features[known], nodes.truth[known]
+    if len(truth):
+        goal = np.eye(labels)[truth]
         for _ in range(300):
-            score = nodes.features @ weights
+            score = features @ weights
             chance = np.exp(score - score.max(axis=1, keepdims=True))
             chance /= chance.sum(axis=1, keepdims=True)
-            weights += 0.5 * (nodes.features.T @ (goal - chance) / len(goal) - 1e-4 * weights)
-    share = np.bincount(nodes.truth, minlength=labels) + 1.0
+            weights += 0.5 * (features.T @ (goal - chance) / len(goal) - 1e-4 * weights)
+    share = np.bincount(truth, minlength=labels) + 1.0
     share /= share.sum()
 
     def ratios(links: np.ndarray, prior: np.ndarray) -> np.ndarray:
         counts = 20.0 * prior
+        links = links[known[links].all(axis=1)]
         np.add.at(counts, (nodes.truth[links[:, 0]], nodes.truth[links[:, 1]]), 1.0)
         counts = (counts + counts.T) / (counts.sum() * 2)
         return np.log(counts / np.outer(share, share)).clip(-4, 4)
@@ -279,19 +381,42 @@ def _scan(field: SkipChainField):
     return run
 
 
-def sample_texts(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", most: int = SAMPLE_DOCS, size: int = 20_000
-) -> list[str]:
-    """The texts with a digit or "@" whose hashes are least; of each its first ``size`` characters. For fitting only.
+def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The nodes of sampled texts, as bytes; texts stay in the task."""
+    for batch in batches:
+        found = [sample_nodes(t) for t in batch.column("text").to_pylist()]
+        columns = {
+            "features": [np.packbits(n.features.astype(np.uint8)).tobytes() for n in found],
+            **{f: [getattr(n, f).astype("<i4").tobytes() for n in found] for f in ("truth", "chain", "skip")},
+        }
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("lot"), *(pa.array(c, pa.binary()) for c in columns.values())], ["lot", *columns]
+        )
+
+
+def _unpacked(row) -> Nodes:
+    truth, chain, skip = (np.frombuffer(row[f], "<i4").astype(np.int64) for f in ("truth", "chain", "skip"))
+    bits = np.unpackbits(np.frombuffer(row["features"], np.uint8), count=len(truth) * _SHAPES)
+    none = np.zeros(len(truth), np.int64)
+    return Nodes(none, none, none, bits.reshape(-1, _SHAPES).astype(float), truth, chain.reshape(-1, 2), skip.reshape(-1, 2))
 
-    Their number is counted first and a share of them taken by hash, so that little
-    more than the sample leaves the tasks.
+
+def fitted(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int = SAMPLE_DOCS) -> SkipChainField:
+    """The field of a table: from the texts with a digit or "@" whose hashes are least, in whole.
+
+    Such texts are counted first and a share of them taken by hash, so that little more
+    than the sample is looked at. Tasks make its nodes; some 10 MB of numbers come to the
+    driver, however long the texts are.
     """
     rows = docs.select(
-        uniform(F.col(key), F.col(text)).alias("lot"), F.substring(whole(F.col(text)), 1, size).alias("text")
+        uniform(F.col(key), F.col(text)).alias("lot"), whole(F.col(text)).alias("text")
     ).filter(F.regexp_like("text", F.lit("[0-9@]")))
     share = min(1.0, 1.5 * most / max(1, rows.count()))
-    return [r["text"] for r in rows.filter(F.col("lot") <= share).orderBy("lot", "text").limit(most).collect()]
+    nodes = rows.filter(F.col("lot") <= share).mapInArrow(
+        _sampled, "lot double, features binary, truth binary, chain binary, skip binary"
+    )
+    found = nodes.orderBy("lot", "features", "truth", "skip").limit(most).collect()
+    return fit_field(joined_nodes([_unpacked(r) for r in found]))
 
 
 def find_private_data(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -302,7 +427,7 @@ def find_private_data(docs: DataFrame, key: str = "doc_id", text: str = "text")
     out. Other columns are not read.
     """
     kind = docs.schema[key].dataType.simpleString()
-    field = fit_field(sample_texts(docs, key, text))
+    field = fitted(docs, key, text)
     counts = ", ".join(f"n_{k} long" for k in KINDS)
     return (
         docs.select(F.col(key).alias("key"), whole(F.col(text)).alias("text"))

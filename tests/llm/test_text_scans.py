@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 
 from goldseam.llm import piecewise_hash, private_data, secrets, url_filter
 
+SHAPES = private_data._SHAPES
+
 NAMES = ["odd", "sample", "none"]
 ANY_CASE = "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token"))
 ASSIGN = re.compile(
@@ -147,11 +150,9 @@ def test_private_data(request, name):
 
 
 def test_messages_give_exact_marginals_on_a_chain():
-    import numpy as np
-
     rng = np.random.default_rng(3)
-    field = private_data.SkipChainField(rng.normal(size=(30, 5)), rng.normal(size=(5, 5)), rng.normal(size=(5, 5)))
-    features = rng.integers(0, 2, (3, 30)).astype(float)
+    field = private_data.SkipChainField(rng.normal(size=(SHAPES, 5)), rng.normal(size=(5, 5)), rng.normal(size=(5, 5)))
+    features = rng.integers(0, 2, (3, SHAPES)).astype(float)
     nodes = private_data.Nodes(
         np.zeros(3, int), np.zeros(3, int), np.zeros(3, int), features, np.zeros(3, int), np.array([[0, 1]]), np.array([[1, 2]])
     )
@@ -162,15 +163,78 @@ def test_messages_give_exact_marginals_on_a_chain():
     assert np.allclose(got, np.array(want) / joint.sum(), atol=1e-6)
 
 
-def test_a_repeated_phone_is_found_where_the_pattern_misses():
-    train = [f"Call +1 (2{i:02d}) 555-{1000 + i} now. Room {i} has {i % 7} seats." for i in range(90)]
-    text = "Call +1 (234) 555-9876 now.\nwords here +1\n(234) 555-9876 again. Room 12 has 3 seats."
-    field = private_data.fit_field(train)
-    base = private_data.base_spans(text)
-    added = private_data.added_spans([text], [base], field)[0]
-    assert [text[a:b] for _, a, b in base] == ["+1 (234) 555-9876"]
-    assert all("Room" not in text[a:b] and "12" != text[a:b] for _, a, b in added)
-    assert any("555-9876" in text[a:b] for _, a, b in added)
+def fitted_on(texts):
+    return private_data.fit_field(private_data.joined_nodes([private_data.sample_nodes(t) for t in texts]))
+
+
+def some_people(n, seed):
+    """Documents with a marked phone, card and address, and beside them unmarked mentions and made-up ones of equal form."""
+    pick, texts, mentions, others = random.Random(seed), [], [], []
+    digits = lambda k: "".join(pick.choice("0123456789") for _ in range(k))
+    for i in range(n):
+        area, mid, end = digits(3), digits(3), digits(4)
+        name, host = f"{pick.choice(['ann', 'bob', 'eve'])}.{digits(2)}", f"mail{pick.randrange(9)}"
+        forms = [lambda a, m, e: f"{a}-{m}-{e}", lambda a, m, e: f"{a}{m}{e}"]
+        form = pick.choice(forms)
+        mention, other = form(area, mid, end), form(digits(3), digits(3), digits(4))
+        texts.append(
+            f"Write to {name}@{host}.example.com or call +1 ({area}) {mid}-{end} now. " + "Words in between are many. " * pick.randrange(40)
+            + f"Then {mention} answered, not {other}, and {name}@{host} wrote. Room {i % 40} has {i % 7} seats."
+        )
+        mentions.append([mention, f"{name}@{host}"])
+        others.append(other)
+    return texts, mentions, others
+
+
+def test_links_find_what_the_patterns_and_the_form_do_not():
+    """Most unmarked mentions are found and hardly a made-up one; with the skip links taken out, hardly anything is."""
+    field = fitted_on(some_people(150, 1)[0])
+    without = private_data.SkipChainField(field.token, field.chain, np.zeros_like(field.skip))
+    texts, mentions, others = some_people(100, 2)
+    base = [private_data.base_spans(t) for t in texts]
+    hits = {}
+    for name, f in (("linked", field), ("unlinked", without)):
+        added = [{t[a:b] for _, a, b in spans} for t, spans in zip(texts, private_data.added_spans(texts, base, f), strict=True)]
+        hits[name] = sum(m in a for ms, a in zip(mentions, added, strict=True) for m in ms)
+        assert sum(o in a for o, a in zip(others, added, strict=True)) <= 5
+    assert hits["linked"] >= 180 and hits["unlinked"] <= 20
+
+
+def test_messages_around_a_loop_come_close_to_the_marginals():
+    """Three nodes, each linked to both others, with potentials of the usual size."""
+    rng = np.random.default_rng(8)
+    kind = np.eye(5) * 0.8
+    field = private_data.SkipChainField(rng.normal(size=(SHAPES, 5)) * 0.3, kind, kind)
+    features = rng.integers(0, 2, (3, SHAPES)).astype(float)
+    none = np.zeros(3, int)
+    nodes = private_data.Nodes(none, none, none, features, none, np.array([[0, 1], [1, 2]]), np.array([[0, 2]]))
+    local = features @ field.token
+    joint = np.exp(local[0][:, None, None] + local[1][None, :, None] + local[2]
+                   + kind[:, :, None] + kind[None] + kind[:, None, :])
+    want = np.array([joint.sum((1, 2)), joint.sum((0, 2)), joint.sum((0, 1))]) / joint.sum()
+    got = field.marginals(nodes, rounds=60)
+    assert np.abs(got - want).max() < 0.05 and (got.argmax(1) == want.argmax(1)).all()
+
+
+def test_a_sampled_text_is_looked_at_in_whole():
+    """Nodes are chosen by hash from all of a long text, and those with the same key together."""
+    text = " x ".join(f"{i:06d}" for i in range(4_000)) + " x " + " x ".join(f"{i:06d}" for i in range(4_000))
+    nodes = private_data.nodes_of([text], [[]], private_data.SAMPLE_NODES)
+    assert len(nodes.doc) == private_data.SAMPLE_NODES and nodes.start.max() > 0.9 * len(text) and nodes.start.min() < 0.1 * len(text)
+    linked = set(nodes.skip.ravel().tolist())
+    assert len(linked) >= private_data.SAMPLE_NODES - 1
+    longer, spans = private_data.planted("call +1 (234) 555-9876", private_data.base_spans("call +1 (234) 555-9876"))
+    assert private_data.planted("call +1 (234) 555-9876", private_data.base_spans("call +1 (234) 555-9876")) == (longer, spans)
+    assert len(spans) == 1 and private_data.base_spans(longer) == private_data.base_spans("call +1 (234) 555-9876")
+
+
+def test_a_field_of_a_table_is_the_same_in_every_run(spark):
+    texts = some_people(60, 4)[0]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(99, None)], "doc_id long, text string")
+    one, two = private_data.fitted(docs), private_data.fitted(docs.repartition(5))
+    assert np.allclose(one.token, two.token) and np.allclose(one.skip, two.skip) and np.allclose(one.token, private_data.fitted(docs, most=1_000).token)
+    none = private_data.fitted(docs.limit(0))
+    assert none.token.shape == one.token.shape
 
 
 URLS = [
