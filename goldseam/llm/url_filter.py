@@ -24,6 +24,8 @@ SPAN = 5
 PULL = 2.0
 ALPHABET = 64
 BINS = 64
+#: One URL in so many is kept for the bound.
+HELD_OUT = 5
 
 
 @dataclass(frozen=True)
@@ -107,8 +109,8 @@ def window_scores(windows: DataFrame) -> DataFrame:
     return level.select(F.col("tail").alias("window"), F.log(F.col("good") / F.col("bad")).alias("difference"))
 
 
-def calibrated_bound(scored: DataFrame) -> float:
-    """The score that parts allowed from blocked with the least balanced error; 0 if either is missing.
+def calibrated_bound(scored: DataFrame) -> float | None:
+    """The score that parts allowed from blocked with the least balanced error; None if either is missing.
 
     Scores are summed in bins of 1/64, of which there are a few hundred at most.
     """
@@ -116,7 +118,7 @@ def calibrated_bound(scored: DataFrame) -> float:
     rows = sorted((r["bin"], r["good"], r["bad"]) for r in bins.filter("good + bad > 0").collect())
     good, bad = sum(r[1] for r in rows), sum(r[2] for r in rows)
     if not good or not bad:
-        return 0.0
+        return None
     # A bound anywhere between two bins parts them alike: the middle is taken.
     best, lost, passed, last = (2.0, 0.0), 0, bad, rows[0][0] - 1
     for number, more_good, more_bad in rows:
@@ -125,13 +127,19 @@ def calibrated_bound(scored: DataFrame) -> float:
     return best[1] / BINS
 
 
+def held_out(body: Column) -> Column:
+    """A share of the URLs, by hash, that the models are not fitted on and the bound is found on."""
+    return F.pmod(F.xxhash64(F.lit("bound"), body), F.lit(HELD_OUT)) == 0
+
+
 def judge_urls(pages: DataFrame, key: str = "page_id", url: str = "url", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """One row per page: key, host, path, rule, verdict, score (log-likelihood difference per character).
 
     A null URL, or one without "://", has an empty host and path and no rule, and is
-    judged by the models as the text that it is. Without URLs that rules decide, all
-    scores are 0 and the verdict is allow. No rows in, none out. Other columns are not
-    read.
+    judged by the models as the text that it is. One in HELD_OUT of the URLs that rules
+    decide is kept out of the models, and the bound is the best for these; without any of
+    one verdict among them, for all. Without URLs that rules decide, all scores are 0 and
+    the verdict is allow. No rows in, none out. Other columns are not read.
     """
     urls = pages.select(F.col(key).alias("key"), F.col(url).alias("url"))
     urls = urls.select("key", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), model_text(F.col("url")).alias("body"))
@@ -147,14 +155,20 @@ def judge_urls(pages: DataFrame, key: str = "page_id", url: str = "url", rules:
     windows = F.transform(
         F.sequence(F.lit(1), F.length("body") - SPAN + 1), lambda i: F.substring(F.col("body"), i, F.lit(SPAN))
     )
-    dealt = bodies.select("body", "good", "bad", F.explode(windows).alias("window"))
+    fit = {c: F.when(held_out(F.col("body")), 0).otherwise(F.col(c)).cast("long") for c in ("good", "bad")}
+    dealt = bodies.withColumns(fit).select("body", "good", "bad", F.explode(windows).alias("window"))
     differences = window_scores(cut(dealt.groupBy("window").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))))
     scores = lookup(dealt.select("body", "window"), differences, ["window"]).groupBy("body").agg(
         F.avg("difference").alias("score")
     )
     scored = cut(bodies.join(scores, "body"))
-    bound = calibrated_bound(scored)
+    bound = calibrated_bound(scored.filter(held_out(F.col("body"))))
+    if bound is None:
+        bound = calibrated_bound(scored) or 0.0
     verdict = F.coalesce(F.col("fixed"), F.when(F.col("score") >= bound, "allow").otherwise("block"))
-    return lookup(ruled, scored.select("body", "score"), ["body"]).select(
+    # 128 bits stand for a URL, so that what may be broadcast has a fixed width.
+    hashes = {f"h{n}": F.xxhash64(F.lit(n), "body") for n in (1, 2)}
+    found = scored.withColumns(hashes).select("h1", "h2", "score")
+    return lookup(ruled.withColumns(hashes).drop("body"), found, ["h1", "h2"]).select(
         F.col("key").alias(key), "host", "path", "rule", verdict.alias("verdict"), "score"
     )

@@ -274,6 +274,48 @@ def test_url_models_follow_what_the_rules_teach(spark):
     assert (got[300].verdict, got[301].verdict) == ("block", "allow") and got[300].score < 0 < got[301].score
 
 
+def test_url_scores_and_bound_equal_brute_force(spark):
+    """Models, scores and bound by dictionaries; only which URLs are held out is asked of Spark."""
+    rows = [(i, f"http://h{i % 13}.org/fr/{['good-news', 'fine-art', 'tea'][i % 3]}/{i % 90}") for i in range(200)]
+    rows += [(500 + i, f"http://s{i % 9}.net/{['cheap-pills', 'casino-win'][i % 2]}/{i % 70}?x={i % 4}") for i in range(150)]
+    rows += [(900 + i, f"http://z{i}.test/{'cheap' if i % 2 else 'fine-art'}/{i}") for i in range(20)]
+    frame = spark.createDataFrame(rows, "page_id int, url string")
+    body = url_filter.model_text(F.col("url"))
+    known = frame.select("page_id", "url", body.alias("body"), url_filter.held_out(body).alias("out")).collect()
+    got = {r.page_id: r for r in url_filter.judge_urls(frame).collect()}
+    teach = {"allow": Counter(), "block": Counter()}
+    for r in known:
+        verdict = brute_rule(r.url)[3]
+        if verdict and not r.out:
+            teach[verdict].update(r.body[i : i + 5] for i in range(len(r.body) - 4))
+
+    def chance(counts, tail):
+        if not tail:
+            return 1 / 64
+        k = len(tail)
+        same = sum(n for w, n in counts.items() if w[5 - k :] == tail)
+        context = sum(n for w, n in counts.items() if w[5 - k : 4] == tail[:-1])
+        return (same + 2.0 * chance(counts, tail[1:])) / (context + 2.0)
+
+    windows = {r.body[i : i + 5] for r in known for i in range(len(r.body) - 4)}
+    gain = {w: math.log(chance(teach["allow"], w) / chance(teach["block"], w)) for w in windows}
+    score = {r.page_id: sum(gain[r.body[i : i + 5]] for i in range(len(r.body) - 4)) / (len(r.body) - 4) for r in known}
+    assert all(abs(got[i].score - s) < 1e-9 for i, s in score.items())
+    held = [(math.floor(score[r.page_id] * 64), brute_rule(r.url)[3]) for r in known if r.out and brute_rule(r.url)[3]]
+    good, bad = sum(v == "allow" for _, v in held), sum(v == "block" for _, v in held)
+    assert good > 5 and bad > 5
+
+    def lost(bound):
+        return sum(v == "allow" and b < bound for b, v in held) / good + sum(v == "block" and b >= bound for b, v in held) / bad
+
+    least = min(lost(b) for b in range(min(held)[0], max(held)[0] + 2))
+    free = [i for i in score if got[i].rule is None]
+    passed = [score[i] for i in free if got[i].verdict == "allow"]
+    stopped = [score[i] for i in free if got[i].verdict == "block"]
+    assert passed and stopped and max(stopped) < min(passed)
+    assert min(lost(b / 8) for b in range(math.floor(max(stopped) * 512), math.ceil(min(passed) * 512) + 1)) == least
+
+
 def brute_distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
