@@ -42,26 +42,34 @@ def _blank(value: Column) -> Column:
     return value.isNull() | (value == "")
 
 
-def _parsed(text: Column, pattern: str, grouped_pattern: str, kind: str) -> Column:
+def _parsed(text: Column, plain: Column, grouped_pattern: str, kind: str) -> Column:
     """Number of stripped text in one of the two forms, else null."""
     grouped = F.contains(text, F.lit("_")) & text.rlike(grouped_pattern)
-    return F.when(text.rlike(pattern), text.try_cast(kind)).when(
-        grouped, F.replace(text, F.lit("_"), F.lit("")).try_cast(kind)
-    )
+    return F.when(plain, text.try_cast(kind)).when(grouped, F.replace(text, F.lit("_"), F.lit("")).try_cast(kind))
 
 
 def _finite(text: Column) -> Column:
-    return _parsed(text, NUMBER_PATTERN, GROUPED_NUMBER_PATTERN, "double")
+    """Double of stripped text in one of the two forms, else null.
+
+    Text that begins and ends like a number needs no pattern: of what Spark's cast takes
+    beyond it, suffixes end in a letter and hexadecimals have an ``x``. A hyphen further on
+    is a date's, rather than an exponent's: there the pattern is quicker than a failing cast.
+    """
+    first, last = F.ascii(text), F.ascii(F.right(text, F.lit(1)))
+    begins = first.between(43, 57) & (first != 44) & (first != 47)
+    ends = last.between(46, 57) & (last != 47)
+    other = F.contains(text, F.lit("x")) | F.contains(text, F.lit("X")) | F.contains(text, F.lit("_")) | (F.locate("-", text, 2) > 0)
+    return _parsed(text, begins & ((ends & ~other) | text.rlike(NUMBER_PATTERN)), GROUPED_NUMBER_PATTERN, "double")
 
 
 def _integer(text: Column, kind: str) -> Column:
-    return _parsed(text, INTEGER_PATTERN, GROUPED_INTEGER_PATTERN, kind)
+    return _parsed(text, text.rlike(INTEGER_PATTERN), GROUPED_INTEGER_PATTERN, kind)
 
 
 def parse_double(text: Column) -> Column:
     """Double of stripped text, including ``nan`` and ``inf``; else null."""
     special = F.when(
-        text.rlike(NON_FINITE_PATTERN),
+        F.lower(F.right(text, F.lit(1))).isin("n", "f", "y") & text.rlike(NON_FINITE_PATTERN),
         F.when(F.lower(text).contains("nan"), F.lit(float("nan")))
         .when(text.startswith("-"), F.lit(float("-inf")))
         .otherwise(F.lit(float("inf"))),

@@ -113,6 +113,17 @@ def src_csv_folder(spark, sf_dir):
     return read_csv_typed(spark, path, types)
 
 
+def seed_load(spark, sf_dir):
+    """A seed file whose columns are all text, whatever they look like: codes keep their zeros."""
+    path = scratch_path(spark, "seed")
+    nations = adapt.table(spark, sf_dir, "nation")
+    code = F.format_string("%04d", F.col("n_nationkey"))
+    nations.select(code.alias("code"), F.concat(F.lit(" "), "n_name").alias("former"), F.lit("1.0").alias("current"), F.lit("2024-01-01").alias("since")).write.csv(
+        path, header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False
+    )
+    return read_csv_typed(spark, path, dict.fromkeys(("code", "former", "current", "since"), "str"))
+
+
 def wide_integers(spark, sf_dir):
     """Whole numbers at and beyond the bounds of doubles and of 64 bits, each with the event's own digits."""
     events = adapt.table(spark, sf_dir, "events")
@@ -317,6 +328,7 @@ QUERIES = {
     "lenient_time": clock,
     "src_csv_typed": src_csv_typed,
     "src_csv_folder": src_csv_folder,
+    "seed_load": seed_load,
     "coerce_wide_int": wide_integers,
     "dead_letter_sink": dead_letter_sink,
     "src_json_nested": src_json_nested,
@@ -379,6 +391,8 @@ ORACLE = {
     "src_csv_folder": """select event_id, case when event_id % 3 <> 2 then user_id end as user_id, value,
                          case when event_id % 3 = 2 then event_type || chr(10) || user_id else event_type end as event_type,
                          props from events""",
+    "seed_load": """select lpad(cast(n_nationkey as varchar), 4, '0') as code, n_name as former, '1.0' as current,
+                      '2024-01-01' as since from nation""",
     "coerce_wide_int": """select event_id, cast(trim(['', '-', '900719925474', '922337203685477', '98765432109876', '10'][
                             cast(event_id % 6 as int) + 1] || lpad(cast(event_id as varchar), 12, '7')) as decimal(38,0))::varchar
                           as as_wide from events""",

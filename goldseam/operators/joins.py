@@ -36,26 +36,35 @@ def skew_join(
 ) -> DataFrame:
     """Inner or left equi-join where single keys of ``left`` may be huge.
 
-    ``right`` should be unique per key, or nearly. Rows of a huge key get a split
-    number from their values, so a task that runs again deals them out alike, and
-    the matching rows of ``right`` are copied once per split. (AQE cannot split this
-    join itself where ``right`` is an aggregate by the same keys.)
+    ``right`` should be unique per key, or nearly. Rows whose key is not huge are joined
+    as they are. Those of a huge key are first counted by all their values, so that equal
+    rows are joined once, and get a split number from their values, so a task that runs
+    again deals them out alike; the matching rows of ``right`` are copied once per split.
+    Last, counted rows are dealt out in lots and written out again. (AQE cannot split this
+    join itself where ``right`` is an aggregate by the same keys.) Keys are counted when
+    this is called; where none is huge, which is usual, that is all there is to it.
     """
-    hot = hot_keys(left, keys, rows_per_split)
+    path = scratch_path(left.sparkSession, "hot-keys")
+    hot_keys(left, keys, rows_per_split).write.parquet(path)
+    hot = left.sparkSession.read.parquet(path)
+    if hot.isEmpty():
+        return left.join(right, keys, how)
     named = hot.toDF(*[f"_hot{i}" for i in range(len(keys))], "_splits")
-    splits = F.coalesce("_splits", F.lit(1))
-
-    def with_splits(df: DataFrame) -> DataFrame:
-        same = [F.col(f"`{k}`").eqNullSafe(F.col(f"_hot{i}")) for i, k in enumerate(keys)]
-        return df.join(named, reduce(operator.and_, same), "left")
-
-    spread = with_splits(left).select(
-        *left.columns, F.pmod(F.xxhash64(*left.columns), splits).cast("int").alias("_split")
-    )
-    copied = with_splits(right).select(
-        *right.columns, F.explode(F.sequence(F.lit(0), splits - 1)).alias("_split")
+    same = reduce(operator.and_, [F.col(f"`{k}`").eqNullSafe(F.col(f"_hot{i}")) for i, k in enumerate(keys)])
+    mine = [F.col(f"`{c}`") for c in left.columns]
+    plain = left.join(named, same, "left_anti").join(right, keys, how)
+
+    counted = left.join(named, same).groupBy(*left.columns, "_splits").agg(F.count("*").alias("_n"))
+    split = F.pmod(F.xxhash64(*mine), F.col("_splits")).cast("int").alias("_split")
+    copied = right.join(named, same).select(
+        *right.columns, F.explode(F.sequence(F.lit(0), F.col("_splits") - 1)).alias("_split")
     )
-    return spread.join(copied, [*keys, "_split"], how).drop("_split")
+    met = counted.select(*mine, "_n", split).join(copied, [*keys, "_split"], how).drop("_split")
+    lots = met.withColumn("_lot", F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / rows_per_split))))
+    # Rows that occur once, as most do, are their only lot; the shuffle is of joined rows of huge keys.
+    size = F.least(F.lit(rows_per_split), F.col("_n") - F.col("_lot") * rows_per_split).cast("int")
+    spread = lots.repartition(*[f"`{c}`" for c in left.columns], "_lot").withColumn("_copy", F.explode(F.sequence(F.lit(1), size)))
+    return plain.unionByName(spread.drop("_n", "_lot", "_copy"))
 
 
 def orphan_keys(child: DataFrame, key: str, parent: DataFrame, parent_key: str) -> DataFrame:

@@ -96,13 +96,17 @@ class Lake:
         raw: bool = True,
         partition_by: tuple[str, ...] = (),
     ) -> None:
-        """Create the table if it is absent; ``raw`` tables get Bronze column names."""
+        """Create the table if it is absent; ``raw`` tables get Bronze column names.
+
+        The load time of audited tables has a default, which rows that come without one get.
+        """
         if isinstance(schema, str):
             schema = T.StructType.fromDDL(schema)
         fields = [T.StructField(column_name(f.name) if raw else f.name, f.dataType) for f in schema.fields]
         if audit:
             fields += T.StructType.fromDDL(AUDIT_SCHEMA).fields
-        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+        default = {AUDIT_COLUMNS[0]: " DEFAULT localtimestamp()"} if audit else {}
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}{default.get(f.name, '')}" for f in fields)
         parts = f"PARTITIONED BY ({', '.join(partition_by)}) " if partition_by else ""
         self.spark.sql(
             f"CREATE TABLE IF NOT EXISTS {self.name(table, layer)} ({columns}) USING parquet {parts}"
@@ -131,14 +135,15 @@ class Lake:
         return [names[f] for f in added]
 
     def _aligned(self, df: DataFrame, table: str, layer: str, extra: tuple[Column, ...] = ()) -> DataFrame:
-        """Columns in table order and type; one that the rows lack is null."""
+        """Columns in table order and type; one that the rows lack has its default, or else is null."""
         have = {column_name(c): c for c in df.columns}
         if len(have) < len(df.columns):
             raise SchemaDriftError(f"{table}: columns {df.columns} share a table name")
 
         def field(f: T.StructField) -> Column:
             source = have.get(column_name(f.name))
-            value = F.lit(None) if source is None else F.col(f"`{source}`")
+            default = F.expr(f.metadata["CURRENT_DEFAULT"]) if "CURRENT_DEFAULT" in f.metadata else F.lit(None)
+            value = default if source is None else F.col(f"`{source}`")
             return value.cast(f.dataType).alias(f.name)
 
         return df.select(*[field(f) for f in self.read(table, layer).schema.fields], *extra)

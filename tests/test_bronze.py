@@ -268,3 +268,13 @@ def test_a_repeated_run_replaces_its_dead_letters(spark, lake):
     letters = lake.read("DEAD_LETTER")
     assert sorted(r._batch_id for r in letters.collect()) == ["b", "run 'a'"]
     assert {r._error_detail for r in letters.collect()} == {"v"}
+
+
+def test_rows_without_a_load_time_get_the_default(spark, lake):
+    lake.ensure("RAW_T", "id bigint")
+    lake.append(spark.range(2), "RAW_T")
+    lake.append(spark.range(2, 3).withColumn("_ingested_at", F.lit("2026-06-11 00:00:00").cast("timestamp_ntz")), "RAW_T")
+    spark.sql(f"INSERT INTO {lake.name('RAW_T')} (ID) VALUES (3)")
+    got = {r.ID: r["_ingested_at"] for r in lake.read("RAW_T").collect()}
+    assert got[2].isoformat() == "2026-06-11T00:00:00" and all(got[i].year > 2024 for i in (0, 1, 3))
+    assert lake.read("RAW_T").filter("_source_name is null").count() == 4

@@ -26,6 +26,26 @@ def test_skew_join_of_equal_rows(spark):
     assert joins.skew_join(left, right, ["k"], rows_per_split=50).count() == 500
 
 
+def test_equal_rows_of_a_hot_key_are_spread(spark, rows):
+    """Copies of one row, some of it in nulls, beside different rows of the same key and of others."""
+    data = [("hot", 1)] * 400 + [("hot", None)] * 120 + [("hot", i) for i in range(150)] + [("a", 1)] * 3 + [(None, 2)] * 90
+    left = spark.createDataFrame(data, "k string, v int").repartition(5)
+    right = spark.createDataFrame([("hot", 1), ("hot", 2), ("a", 3)], "k string, w int")
+    for how in ("inner", "left"):
+        got = joins.skew_join(left, right, ["k"], how, rows_per_split=50)
+        assert rows(got, "k", "v", "w") == rows(left.join(right, "k", how), "k", "v", "w")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # the rows are few here
+        sizes = got.groupBy(F.spark_partition_id()).count().collect()
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        assert max(r["count"] for r in sizes) < 0.6 * got.count()
+
+
+def test_without_a_hot_key_the_join_is_plain(spark):
+    left = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int")
+    plan = joins.skew_join(left, left.withColumnRenamed("v", "w"), ["k"])._jdf.queryExecution().executedPlan().toString()
+    assert "_split" not in plan
+
+
 def test_hot_keys_lists_only_large_ones(spark):
     df = spark.createDataFrame(skewed(), "k string, v int")
     hot = joins.hot_keys(df, ["k"], rows_per_split=50).collect()
