@@ -146,6 +146,8 @@ def json_documents(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """
     at = {"file": F.col("_metadata.file_path"), "block": F.col("_metadata.file_block_start"), "line": F.monotonically_increasing_id()}
     pieces = spark.read.option("lineSep", "}").text(path).select("value", *(c.alias(n) for n, c in at.items()))
+    # Dealt before anything is worked out, so that all that follows reads one exchange.
+    pieces = pieces.repartition("file", "block")
     # An escape never lies across two pieces, as a brace needs none.
     plain = F.regexp_replace("value", r"(?s)\\.", "")
     lead = F.substring(F.regexp_replace("value", r"^[\uFEFF\s]+", ""), 1, 1)
