@@ -110,7 +110,7 @@ def src_csv_folder(spark, sf_dir):
     ):
         part.write.mode("append").csv(path, header=True, quote='"', escape='"')
     types = {"event_id": "int", "user_id": "int", "value": "float", "event_type": "str", "props": "str"}
-    return read_csv_typed(spark, path, types)
+    return read_csv_typed(spark, path, types, cut=True)
 
 
 def seed_load(spark, sf_dir):

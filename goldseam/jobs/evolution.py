@@ -137,8 +137,10 @@ def sample_types(spark, sf_dir):
     text = rows.select(*[F.col(c).cast("string").alias(c) for c in rows.columns])
     whole, parts = (infer_types(f, sample_rows=200) for f in (text, text.repartition(7)))
     agree = whole.join(parts.withColumnRenamed("inferred_type", "again"), "column_name")
-    n = bottom_rows(text.repartition(5), 200).exceptAll(bottom_rows(text, 200)).agg(F.count("*").alias("n_other_rows"))
-    return agree.select("column_name", "inferred_type", (F.col("again") == F.col("inferred_type")).alias("same")).join(n)
+    other = bottom_rows(text.repartition(5), 200).exceptAll(bottom_rows(text, 200)).agg(F.count("*").alias("n"))
+    return agree.select("column_name", "inferred_type", (F.col("again") == F.col("inferred_type")).alias("same")).unionByName(
+        other.select(F.lit("rows").alias("column_name"), F.lit("").alias("inferred_type"), (F.col("n") == 0).alias("same"))
+    )
 
 
 QUERIES = {
@@ -208,9 +210,9 @@ ORACLE = {
         from customer
         union all select null, '2 c_mktsegment c_custkey:int>bigint,c_nationkey:int>decimal(38,0)', null, null, null
         union all select null, '3 c_acctbal c_nationkey:decimal(38,0)>double', null, null, null""",
-    "sample_types": "select column_name, inferred_type, true as same, 0::bigint as n_other_rows from (values "
+    "sample_types": "select column_name, inferred_type, true as same from (values "
     + ", ".join(f"('{c}', '{t}')" for c, t in (
         ("l_orderkey", "int"), ("l_partkey", "int"), ("l_suppkey", "int"), ("l_linenumber", "int"), ("l_quantity", "int"),
         ("l_extendedprice", "float"), ("l_discount", "float"), ("l_tax", "float"), ("l_returnflag", "str"),
-        ("l_linestatus", "str"), ("l_shipdate", "str"))) + ") t(column_name, inferred_type)",
+        ("l_linestatus", "str"), ("l_shipdate", "str"), ("rows", ""))) + ") t(column_name, inferred_type)",
 }

@@ -42,14 +42,14 @@ def test_cut_records_equal_the_multi_line_reader(spark, tmp_path, rows, small_bl
     path = write_csv(tmp_path / "some.csv", seed, end)
     schema = "c1 string, c2 string, c3 string, more string"
     want = spark.read.schema(schema).options(**OPTIONS).csv(path)
-    assert rows(read_csv_text(spark, path, ["c1", "c2", "c3"], surplus="more")) == rows(want)
+    assert rows(read_csv_text(spark, path, ["c1", "c2", "c3"], surplus="more", cut=True)) == rows(want)
 
 
 def test_many_files_in_blocks(spark, tmp_path, rows, small_blocks):
     for seed in range(4):
         write_csv(tmp_path / f"{seed}.csv", seed, rows=40)
     want = spark.read.schema("c1 string, c2 string, c3 string").options(**OPTIONS).csv(str(tmp_path))
-    assert rows(read_csv_text(spark, str(tmp_path), ["c1", "c2", "c3"])) == rows(want)
+    assert rows(read_csv_text(spark, str(tmp_path), ["c1", "c2", "c3"], cut=True)) == rows(want)
 
 
 def test_one_file_is_read_by_several_tasks(spark, tmp_path, small_blocks):
@@ -69,13 +69,23 @@ def test_one_file_is_read_by_several_tasks(spark, tmp_path, small_blocks):
 def test_odd_files(spark, tmp_path, text, want):
     path = tmp_path / "odd.csv"
     path.write_text(text)
-    assert [tuple(r) for r in read_csv_text(spark, str(path), multi_line=True).collect()] == want
+    assert [tuple(r) for r in read_csv_text(spark, str(path), multi_line=True, cut=True).collect()] == want
+
+
+def test_large_files_are_cut_without_being_asked(spark, tmp_path, rows, monkeypatch):
+    path = write_csv(tmp_path / "some.csv", 5)
+    columns = ["c1", "c2", "c3"]
+    plan = lambda: read_csv_text(spark, path, columns)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan()
+    whole = rows(read_csv_text(spark, path, columns))
+    monkeypatch.setattr(files, "LARGE_FILE", 1_000)
+    assert "Window" in plan() and rows(read_csv_text(spark, path, columns)) == whole
 
 
 def test_typed_read_of_spanning_records(spark, tmp_path):
     path = tmp_path / "typed.csv"
     path.write_text('id,note\n1,"x\n\ny"\nz,"q"\n')
-    got = read_csv_typed(spark, str(path), {"id": "int", "note": "str"})
+    got = read_csv_typed(spark, str(path), {"id": "int", "note": "str"}, cut=True)
     assert sorted(map(tuple, got.collect()), key=repr) == [(1, "x\n\ny"), (None, "q")]
 
 
