@@ -22,6 +22,8 @@ from goldseam.sources.lake import Lake
 from goldseam.streaming.incremental import load_new_files, read_loaded
 
 CUTOFF = dt.datetime(2024, 1, 10)
+#: Events per group of three arrays, so that files of arrays are large, and more of them come with more events.
+ARRAY_EVENTS = 2_000_000
 
 
 def messy(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -217,7 +219,7 @@ def src_json_array(spark, sf_dir):
     """The documents as files of one array each, without line breaks at document ends, cut into documents by many tasks."""
     path = scratch_path(spark, "json")
     docs = documents(adapt.table(spark, sf_dir, "events").withColumn("event_type", F.concat("event_type", F.lit('} "\\ ]'))))
-    part = F.col("event_id") % 3
+    part = F.floor(F.col("event_id") / ARRAY_EVENTS) * 3 + F.col("event_id") % 3
     lines = docs.select(part.alias("part"), F.col("event_id").alias("at"), F.concat(F.lit(","), F.to_json(F.struct("matches"))).alias("value"))
     ends = docs.select(part.alias("part")).distinct().select("part", F.inline(F.array(
         F.struct(F.lit(-1).cast("long").alias("at"), F.lit("[null").alias("value")),

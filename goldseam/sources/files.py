@@ -105,7 +105,8 @@ def _cut(spark: SparkSession, path: str, cut: bool | None) -> bool:
 
 def _json_rows(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool, cut: bool | None) -> DataFrame:
     if multi_line and _cut(spark, path, cut):
-        return json_documents(spark, path).select(F.from_json("document", schema).alias("d")).select("d.*")
+        # As a generator, so that filters on the fields do not parse the documents again.
+        return json_documents(spark, path).select(F.inline(F.array(F.from_json("document", schema))))
     return spark.read.schema(schema).option("multiLine", str(multi_line).lower()).json(path)
 
 

@@ -150,6 +150,29 @@ def test_documents_of_json_files(spark, tmp_path, small_blocks, form):
     assert Counter(json.dumps(json.loads(r.document)) for r in got) == want
 
 
+@pytest.mark.parametrize("form", FORMS)
+def test_documents_over_many_chunks(spark, tmp_path, monkeypatch, form):
+    """Chunks of two braces in one block, and of one: documents within, across and at the ends of chunks."""
+    pick = random.Random(form)
+    docs = [{"id": i, "v": some_value(pick)} for i in range(25)]
+    (tmp_path / "docs.json").write_text(FORMS[form](docs), encoding="utf-8")
+    want = Counter(json.dumps(d) for d in (docs[:1] if form == "one" else docs))
+    for bits in (1, 0):
+        monkeypatch.setattr(records, "CHUNK_BITS", bits)
+        got = records.json_documents(spark, str(tmp_path)).collect()
+        assert Counter(json.dumps(json.loads(r.document)) for r in got) == want
+
+
+def test_no_window_goes_over_pieces(spark, tmp_path):
+    """Pieces are as many as closing braces: only their chunks are sorted, without their text."""
+    (tmp_path / "docs.json").write_text('[{"a":{}},{"b":"}"}]')
+    found = records.json_documents(spark, str(tmp_path))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    windows = [x for x in plan.splitlines() if "windowspecdefinition" in x]
+    assert windows and not [x for x in windows if "line#" in x]
+    assert sorted(r.document for r in found.collect()) == ['{"a":{}}', '{"b":"}"}']
+
+
 def test_cut_documents_equal_the_multi_line_reader(spark, tmp_path, rows, small_blocks):
     match = {"date": "2026-06-11", "team1": "A", "team2": "B}", "score": {"ft": [1, 2]}, "goals1": [{"name": "x\"{", "minute": "9"}]}
     docs = [{"matches": [match, {"team1": str(i)}]} for i in range(20)] + [{"matches": None}, {}]
