@@ -154,7 +154,9 @@ def apply_type_policy(types: dict[str, str]) -> dict[str, str]:
 def retype(df: DataFrame, types: dict[str, str], keep: tuple[str, ...] = ()) -> DataFrame:
     """Coerce every column of ``types``; other columns are left out but those of ``keep``.
 
-    Stripping is a projection of its own, so that it runs once per value.
+    Stripping is a projection of its own, so that it runs once per value. Numbers of a kind
+    are parsed as one array by one expression: written out for every column, the generated
+    method would be too long for Java to compile.
     """
     numbered = list(enumerate(types.items()))
     texts = df.select(
@@ -162,5 +164,14 @@ def retype(df: DataFrame, types: dict[str, str], keep: tuple[str, ...] = ()) ->
         *[strip(F.col(f"`{c}`")).alias(f"s{i}") for i, (c, _) in numbered],
         *[F.col(f"`{c}`") for c in keep],
     )
-    typed = [coerce(F.col(f"v{i}"), kind, F.col(f"s{i}")).alias(c) for i, (c, kind) in numbered]
-    return texts.select(*typed, *keep)
+    places = {kind: [i for i, (_, k) in numbered if k == kind] for kind in ("int", "wide", "float")}
+
+    def numbers(kind: str) -> Column:
+        return F.transform(F.array(*[F.col(f"s{i}") for i in places[kind]]), lambda text: coerce(text, kind, text))
+
+    parsed = texts.select("*", *[numbers(kind).alias(f"n_{kind}") for kind, at in places.items() if at])
+
+    def value(i: int, kind: str) -> Column:
+        return F.get(f"n_{kind}", F.lit(places[kind].index(i))) if kind in places else coerce(F.col(f"v{i}"), kind, F.col(f"s{i}"))
+
+    return parsed.select(*[value(i, kind).alias(c) for i, (c, kind) in numbered], *[F.col(f"`{c}`") for c in keep])

@@ -123,3 +123,14 @@ def test_whole_numbers_keep_their_digits(spark):
     wide = [int(r[0]) for r in df.select(C.coerce_wide_int(F.col("t"))).collect()]
     assert narrow == [int(values[0]), int(values[1]), None, None]
     assert wide == [int(v) for v in values]
+
+
+def test_retyping_more_columns_needs_no_more_patterns(spark):
+    """Numbers are parsed by one expression per kind, whatever the number of columns."""
+    from goldseam.operators.infer import retype
+
+    names = {f"c{i}": ("int", "float", "wide")[i % 3] for i in range(12)}
+    frame = spark.createDataFrame([tuple(f" {i}.0" for i in range(12))], list(names))
+    patterns = lambda n: str(retype(frame, dict(list(names.items())[:n]))._jdf.queryExecution().executedPlan()).count("RLIKE")
+    assert patterns(3) and patterns(12) == patterns(3)
+    assert [float(v) for v in retype(frame, names).first()] == list(map(float, range(12)))
