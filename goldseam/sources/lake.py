@@ -30,6 +30,7 @@ VALID = "_row_valid"
 #: Partition columns of tables that are merged by key, and of tables that expire by day.
 BUCKET, DAY = "_bucket", "_ingested_on"
 _KEYS, _BUCKETS = "goldseam.keys", "goldseam.buckets"
+_WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
 
 
 class SchemaDriftError(Exception):
@@ -63,6 +64,20 @@ def normalise_columns(df: DataFrame) -> DataFrame:
     return df.toDF(*names)
 
 
+def write_both(rows: DataFrame, flag: str, folder: str, mode: str = "errorifexists") -> None:
+    """Write rows into a folder for each of the two values of ``flag``.
+
+    A task keeps a writer open for either; else it would sort all its rows, in memory.
+    """
+    conf = rows.sparkSession.conf
+    writers = conf.get(_WRITERS)
+    conf.set(_WRITERS, "2")
+    try:
+        rows.write.mode(mode).partitionBy(flag).parquet(folder)
+    finally:
+        conf.set(_WRITERS, writers)
+
+
 class Lake:
     """Layer databases below one root folder; ``prefix`` separates environments."""
 
@@ -174,7 +189,7 @@ class Lake:
         rows = self._aligned(flagged, table, layer, (F.col(REASON), valid)).observe(
             seen, F.count_if(F.col(VALID)).alias("valid"), F.count_if(~F.col(VALID)).alias("dead")
         )
-        rows.write.partitionBy(VALID).parquet(folder)
+        write_both(rows, VALID, folder)
         n_valid, n_dead = seen.get["valid"], seen.get["dead"]
         stored = rows.drop(VALID).schema
         nothing = self.spark.createDataFrame([], stored)

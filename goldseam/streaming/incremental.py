@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from goldseam.operators.split import REASON
 from goldseam.plans.ingest import breach_of
-from goldseam.sources.lake import Lake, now
+from goldseam.sources.lake import Lake, now, write_both
 from goldseam.spec import Slo
 
 BATCH_ID = "_batch_id"
@@ -30,13 +30,10 @@ def write_batch(flagged: DataFrame, batch_id: int, target: str) -> tuple[int, in
     """
     seen = Observation()
     valid = F.col(REASON).isNull().alias("row_valid")
-    (
-        flagged.select(*flagged.columns, valid)
-        .observe(seen, F.count_if("row_valid").alias("valid"), F.count_if(~F.col("row_valid")).alias("dead"))
-        .write.mode("overwrite")
-        .partitionBy("row_valid")
-        .parquet(f"{target}/{BATCH_ID}={batch_id}")
+    rows = flagged.select(*flagged.columns, valid).observe(
+        seen, F.count_if("row_valid").alias("valid"), F.count_if(~F.col("row_valid")).alias("dead")
     )
+    write_both(rows, "row_valid", f"{target}/{BATCH_ID}={batch_id}", "overwrite")
     return seen.get["valid"], seen.get["dead"]
 
 

@@ -278,3 +278,24 @@ def test_rows_without_a_load_time_get_the_default(spark, lake):
     got = {r.ID: r["_ingested_at"] for r in lake.read("RAW_T").collect()}
     assert got[2].isoformat() == "2026-06-11T00:00:00" and all(got[i].year > 2024 for i in (0, 1, 3))
     assert lake.read("RAW_T").filter("_source_name is null").count() == 4
+
+
+def test_valid_and_rejected_rows_are_written_without_a_sort(spark, tmp_path):
+    """A writer for either value stays open, which takes the place of the sort, and later writes are as before."""
+    import pyspark.sql.functions as f
+    from goldseam.sources import lake as module
+
+    seen, writer = [], spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
+    frame = spark.range(10).withColumn("ok", f.col("id") % 2 == 1)
+
+    class Rows:
+        sparkSession = spark
+
+        @property
+        def write(self):
+            seen.append(spark.conf.get("spark.sql.maxConcurrentOutputFileWriters"))
+            return frame.write
+
+    module.write_both(Rows(), "ok", str(tmp_path / "both"))
+    assert seen == ["2"] and spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == writer
+    assert [spark.read.parquet(f"{tmp_path}/both/ok={v}").count() for v in ("true", "false")] == [5, 5]
