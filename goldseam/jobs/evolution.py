@@ -131,13 +131,18 @@ def schema_versions(spark, sf_dir):
     return table.read().unionByName(log.select(F.col("note").alias("c_name")), allowMissingColumns=True)
 
 
+#: Lines per part when a table is dealt anew: the parts become more, not larger, with more lines.
+PART_ROWS = 250_000
+
+
 def sample_types(spark, sf_dir):
     """What 200 rows of the lines say of their columns, the same 200 from one file or from many."""
     rows = adapt.table(spark, sf_dir, "lineitem")
     text = rows.select(*[F.col(c).cast("string").alias(c) for c in rows.columns])
-    whole, parts = (infer_types(f, sample_rows=200) for f in (text, text.repartition(7)))
+    more = rows.count() // PART_ROWS
+    whole, parts = (infer_types(f, sample_rows=200) for f in (text, text.repartition(7 + more)))
     agree = whole.join(parts.withColumnRenamed("inferred_type", "again"), "column_name")
-    other = bottom_rows(text.repartition(5), 200).exceptAll(bottom_rows(text, 200)).agg(F.count("*").alias("n"))
+    other = bottom_rows(text.repartition(5 + more), 200).exceptAll(bottom_rows(text, 200)).agg(F.count("*").alias("n"))
     return agree.select("column_name", "inferred_type", (F.col("again") == F.col("inferred_type")).alias("same")).unionByName(
         other.select(F.lit("rows").alias("column_name"), F.lit("").alias("inferred_type"), (F.col("n") == 0).alias("same"))
     )

@@ -8,7 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from goldseam.jobs import evolution
 from goldseam.operators import sketches
+from goldseam.operators.infer import infer_types
 from goldseam.operators.profile import numeric_kinds, profile_columns, suggest_tests
 from goldseam.operators.sample import bottom_rows
 from goldseam.plans import build
@@ -305,3 +307,18 @@ def test_samples_do_not_depend_on_the_cutting(spark, rows):
     parts = [bottom_rows(frame.filter(F.col("id") % 2 == p), 50) for p in (0, 1)]
     assert rows(bottom_rows(parts[0].unionByName(parts[1]), 50)) == want
     assert bottom_rows(frame, 5_000).count() == 2_000 and rows(bottom_rows(frame, 50, seed=1)) != want
+
+
+def test_a_sample_is_taken_without_sorting_all_rows(spark):
+    """Each task keeps its least rows; the caller's stripping must not turn that into a sort by ranges."""
+    frame = spark.range(1_000).select(F.col("id").cast("string").alias("a"), F.lit(" x").alias("b"))
+    plan = infer_types(frame, sample_rows=20)._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" in plan and "rangepartitioning" not in plan
+
+
+def test_parts_become_more_with_more_rows(spark, monkeypatch):
+    dealt, lines = [], "/root/testdata/sf0.001"
+    monkeypatch.setattr(evolution, "PART_ROWS", 1_000)
+    monkeypatch.setattr(evolution, "infer_types", lambda df, sample_rows: dealt.append(df.rdd.getNumPartitions()) or infer_types(df, sample_rows))
+    evolution.sample_types(spark, lines)
+    assert dealt[1] == 7 + spark.read.parquet(f"{lines}/lineitem.parquet").count() // 1_000
