@@ -71,12 +71,12 @@ def retention_drop(spark, sf_dir):
     return lake.read("RAW_EVENTS").drop("_ingested_on").toDF(*events.columns)
 
 
-#: Bounds of the three files that arrive one after another, and how late a row may be.
+#: Bounds of the three arrivals, one after another, and how late a row may be.
 FIRST, SECOND, DELAY = "2024-01-12 00:00:00", "2024-01-20 00:00:00", "2 days"
 
 
 def events_once(spark, sf_dir):
-    """Three files of events: some come again in the next file, some without a time, some far too late in the last."""
+    """Three arrivals of events: some come again in the next one, some without a time, some far too late in the last."""
     landing, target, checkpoint = (scratch_path(spark, x) for x in ("landing", "once", "stream"))
     events = adapt.table(spark, sf_dir, "events").withColumn("ts", F.when(F.col("event_id") % 50 != 0, F.col("ts")))
     held_back = F.coalesce((F.col("ts") < F.lit("2024-01-04 00:00:00").cast("timestamp_ntz")) & (F.col("event_id") % 4 == 0), F.lit(False))
@@ -91,7 +91,7 @@ def events_once(spark, sf_dir):
     third = third.unionByName(third.filter("event_id % 3 = 0")).unionByName(events.filter(held_back))
     slo = Slo(min_rows=1, max_dead_pct=50.0)
     for arrived in (first, second, third):
-        arrived.coalesce(1).write.mode("append").parquet(landing)
+        arrived.write.mode("append").parquet(landing)
         stream = spark.readStream.schema(events.schema).parquet(landing)
 
         def flag(batch):

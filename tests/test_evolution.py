@@ -13,7 +13,7 @@ from goldseam.operators import sketches
 from goldseam.operators.infer import infer_types
 from goldseam.operators.profile import numeric_kinds, profile_columns, suggest_tests
 from goldseam.operators.sample import bottom_rows
-from goldseam.plans import build
+from goldseam.plans import adapt, build
 from goldseam.plans.graph import Model, ModelGraph
 from goldseam.sources.history import VersionedTable, merged_schema, wider
 
@@ -322,3 +322,11 @@ def test_parts_become_more_with_more_rows(spark, monkeypatch):
     monkeypatch.setattr(evolution, "infer_types", lambda df, sample_rows: dealt.append(df.rdd.getNumPartitions()) or infer_types(df, sample_rows))
     evolution.sample_types(spark, lines)
     assert dealt[1] == 7 + spark.read.parquet(f"{lines}/lineitem.parquet").count() // 1_000
+
+
+def test_arrivals_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    folders = []
+    monkeypatch.setattr(evolution, "scratch_path", lambda spark, label: folders.append(str(tmp_path / label)) or folders[-1])
+    monkeypatch.setattr(adapt, "table", lambda s, d, name: s.read.parquet(f"{d}/{name}.parquet").repartition(3))
+    evolution.events_once(spark, "/root/testdata/sf0.001")
+    assert len(files_of(folders[0])) > 6  # three arrivals, not a file each
